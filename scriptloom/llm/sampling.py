@@ -31,7 +31,7 @@ def normal_label(c: Column) -> Column:
 
 
 def proportional_sample(
-    records: DataFrame, key: str, category: list[str], targets: DataFrame, target: str, floor: str, size: int, seed: int = 42, buckets: int = 64, cut_buckets: int = 4096
+    records: DataFrame, key: str, category: list[str], targets: DataFrame, target: str, floor: str, size: int, seed: int = 42, buckets: int = 1024, cut_buckets: int = 4096
 ) -> tuple[DataFrame, DataFrame]:
     """The sample (key, category, rnk, priority) and a report with one row for each target category.
 
