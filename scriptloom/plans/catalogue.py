@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from . import nested_scripts
+from . import model_queries, nested_scripts, relational_queries, script_queries
 
-_PARTS = (nested_scripts,)
-QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
-ORACLE_SQL = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
+QUERIES = {**nested_scripts.QUERIES, **relational_queries.query.queries, **script_queries.query.queries, **model_queries.query.queries}
+ORACLE_SQL = {**nested_scripts.ORACLE_SQL, **relational_queries.query.sql, **script_queries.query.sql, **model_queries.query.sql}
