@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -255,21 +256,14 @@ def _round(entities: DataFrame) -> DataFrame:
             )
         ).alias("e"),
     ).select("film", "e.*")
-    me = ["film", "me"]
-    top = seen.groupBy(*me).agg(
-        F.max(F.when(F.col("other_full"), F.col("score"))).alias("top_full"),
-        F.max("score").alias("top_any"),
-        F.sum(F.when(F.col("other_full"), 1).otherwise(0)).alias("n_full"),
-    )
-    seen = seen.join(top, me)
-    best = seen.withColumn("best", F.when(F.col("full"), F.lit(True)).otherwise(F.col("score") == F.coalesce("top_full", "top_any")) & (F.col("full") | F.col("other_full") | (F.col("n_full") == 0)))
-    best = best.where("best")
+    me = W.partitionBy("film", "me")
+    seen = seen.withColumn("top", F.coalesce(F.max(F.when(F.col("other_full"), F.col("score"))).over(me), F.max("score").over(me))).withColumn("n_full", F.count(F.when(F.col("other_full"), 1)).over(me))
+    best = seen.where((F.col("full") | (F.col("score") == F.col("top"))) & (F.col("full") | F.col("other_full") | (F.col("n_full") == 0)))
     # an incomplete name needs one best partner; a full one partners whose given names agree
-    by_given = best.where("full and other_full and size(formals) > 0").select("film", "me", F.explode("formals").alias("g"), "other").groupBy("film", "me", "g").agg(F.count("*").alias("n")).groupBy(*me).agg(F.max("n").alias("agree"))
-    counts = best.groupBy(*me).agg(F.count("*").alias("n_best"), F.sum(F.when(F.col("full") & F.col("other_full") & (F.size("formals") > 0), 1).otherwise(0)).alias("n_given"))
-    ok = best.join(counts, me).join(by_given, me, "left").where(
-        (F.col("full") & (~F.col("other_full") | (F.size("formals") == 0) | (F.col("agree") == F.col("n_given")))) | (~F.col("full") & (F.col("n_best") == 1))
-    )
+    named = F.when(F.col("full") & F.col("other_full") & (F.size("formals") > 0), F.col("formals"))
+    best = best.withColumn("n_best", F.count("*").over(me)).withColumn("given", F.collect_set(named).over(me))
+    shared = F.aggregate("given", F.get("given", F.lit(0)), lambda a, g: F.array_intersect(a, g))
+    ok = best.where((F.col("full") & (~F.col("other_full") | (F.size("formals") == 0) | (F.size(shared) > 0))) | (~F.col("full") & (F.col("n_best") == 1)))
     ends = ok.select("film", F.least("me", "other").alias("x"), F.greatest("me", "other").alias("y"))
     return ends.groupBy("film", "x", "y").count().where("count = 2").select("film", "x", "y")
 
