@@ -122,7 +122,7 @@ def _sized(documents: DataFrame, sources: list[str], model: SourceModel | None,
                     "source": pdf["source"],
                     "listed": [a >= 0 for a in at],
                     "tokens": [count_tokens(t, folder) if t else 0 for t in pdf["text"]],
-                    "posterior": [(eye[a] if a >= 0 else own.posterior(t)).tolist() for a, t in zip(at, pdf["text"])],
+                    "posterior": [eye[a].tolist() if a >= 0 else own.posterior(t).tolist() if own else [] for a, t in zip(at, pdf["text"])],
                 }
             )
 

@@ -59,7 +59,7 @@ def proportional_sample(
     sample = inside.unionByName(rest).select(key, *category, "rnk", "priority")
     available = records.groupBy(*category).agg(F.count("*").alias("available"))
     taken = sample.groupBy(*category).agg(F.count("*").alias("taken"))
-    wanted = F.greatest(F.ceil(F.round(F.col("__t") * size / F.col("__all"), 9)), F.col("__f").cast("long"))
+    wanted = F.greatest(F.coalesce(F.ceil(F.round(F.try_divide(F.col("__t") * size, F.col("__all")), 9)), F.lit(0)), F.col("__f").cast("long"))
     report = (
         plan.join(available, category, "left")
         .join(taken, category, "left")
