@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stats import correlation
+
 #: Shapes of a trajectory over 0..1.
 ARCS = ("rise", "fall", "fall_rise", "rise_fall", "rise_fall_rise", "fall_rise_fall")
 
@@ -66,7 +68,7 @@ def arc_similarity(grid: DataFrame, group: str, length: int = 20) -> DataFrame:
     shapes = {"rise": up, "fall": -up, "fall_rise": once, "rise_fall": -once, "rise_fall_rise": -twice, "fall_rise_fall": twice}
     shaped = grid.select(group, "value", *[s.alias(n) for n, s in shapes.items()])
     # the correlation is the cosine of the centred vectors
-    return shaped.groupBy(group).agg(*[F.when(F.stddev_pop("value") > 1e-12, F.corr("value", n)).alias(n) for n in ARCS])
+    return shaped.groupBy(group).agg(*[F.when(F.stddev_pop("value") > 1e-12, correlation("value", n)).alias(n) for n in ARCS])
 
 
 def _mtld_pass(tokens: list[str], threshold: float) -> float:

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from .ranking import average_ranks
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation; null where either side is constant or there are no pairs."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def summary_long(df: DataFrame, metrics: Sequence[tuple[str, Column]]) -> DataFrame:
     """(metric, value): scalar aggregates as rows, in one scan."""
     one = df.agg(*[c.cast("double").alias(f"m{i}") for i, (_, c) in enumerate(metrics)])
@@ -41,7 +46,7 @@ def pearson_spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     ry = average_ranks(pairs, "y").withColumnRenamed("rank", "ry")
     joined = pairs.join(rx, "x").join(ry, "y")
     enough = F.count("*") >= 3
-    return joined.agg(F.count("*").alias("n"), F.when(enough, F.corr("x", "y")).alias("pearson"), F.when(enough, F.corr("rx", "ry")).alias("spearman"))
+    return joined.agg(F.count("*").alias("n"), F.when(enough, correlation("x", "y")).alias("pearson"), F.when(enough, correlation("rx", "ry")).alias("spearman"))
 
 
 def eta_squared(df: DataFrame, group: str, y: str) -> DataFrame:
@@ -49,7 +54,7 @@ def eta_squared(df: DataFrame, group: str, y: str) -> DataFrame:
     g = df.where(F.col(group).isNotNull() & F.col(y).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v"))
     t = g.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("sq"), F.sum(F.col("n") * F.col("m")).alias("s"))
     t = t.withColumn("between", F.col("sq") - F.col("s") * F.col("s") / F.col("n"))
-    return t.select("n", F.col("k").alias("n_groups"), F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k"))).alias("f_stat"), F.try_divide(F.col("between"), F.col("between") + F.col("within")).alias("eta_squared"))
+    return t.select("n", F.col("k").alias("n_groups"), F.try_divide(F.try_divide("between", F.col("k") - 1), F.try_divide("within", F.col("n") - F.col("k"))).alias("f_stat"), F.try_divide(F.col("between"), F.col("between") + F.col("within")).alias("eta_squared"))
 
 
 def pivot_counts(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:

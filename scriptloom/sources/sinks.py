@@ -38,7 +38,7 @@ def enrich_cached(requested: DataFrame, cache: DataFrame, fetch: Callable[[DataF
     asked = requested.select(key).where(F.col(key).isNotNull()).distinct()
     missing = asked if refresh else asked.join(cache.select(key), key, "left_anti")
     grown = cache.unionByName(fetch(missing))
-    newest = keep_one(grown.withColumn("__age", -F.unix_micros(F.col(stamp).cast("timestamp"))), [key], [F.col("__age")], grown.columns)
+    newest = keep_one(grown.withColumn("__age", -F.coalesce(F.unix_micros(F.col(stamp).cast("timestamp")), F.lit(0))), [key], [F.col("__age")], grown.columns)
     return newest.join(asked, key, "left_semi"), newest
 
 
