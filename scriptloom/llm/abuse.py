@@ -228,8 +228,12 @@ def labelled_sample(documents: DataFrame, votes: DataFrame, max_abusive: int = M
     don't exist. The sample takes the least hashes of the ids.
     """
     share = votes.where("abusive is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("abusive").alias("share")).where("share <> 0.5")
-    n_others = share.where("share < 0.5").count()
-    drawn = [share.where(c).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(n) for c, n in (("share > 0.5", max_abusive), ("share < 0.5", max_others))]
+    sizes = share.agg(F.count_if(F.col("share") > 0.5).alias("abusive"), F.count_if(F.col("share") < 0.5).alias("others")).first()
+    n_others = sizes["others"]
+    h = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
+    # ids that hash under a bar first, so that no task sends more than its share of the bounded sample
+    bar = lambda n, of: F.lit(int(min(1.0, 1.2 * n / max(1, of)) * (1 << 30)))
+    drawn = [share.where(c & (h < bar(n, of))).orderBy(h, "doc_id").limit(n) for c, n, of in ((F.col("share") > 0.5, max_abusive, sizes["abusive"]), (F.col("share") < 0.5, max_others, n_others))]
     rows = documents.select("doc_id", "text").where("text <> ''").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").select("doc_id", "text", "share").collect()
     taken = [(r["text"], r["share"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
     return taken, n_others / max(1, min(n_others, max_others))

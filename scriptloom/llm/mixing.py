@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 TOKENIZERS = "/opt/tokenizers"
-#: Bound on the documents the classifier is fitted on, and its hash buckets.
+#: Bound on the documents the classifier is fitted on (drawn by a hash of their ids, whole texts), and its hash buckets.
 MAX_LABELLED, BUCKETS = 4000, 1 << 14
 
 _WORD = re.compile(r"\w+")
@@ -159,7 +159,10 @@ def mix_sources(documents: DataFrame, weights: DataFrame, tokenizers: str = TOKE
     names = [r["name"] for r in listed]
     caps, share = np.array([float(r["r"]) for r in listed]), np.array([r["w"] for r in listed])
     named = documents.select("doc_id", normal_source(F.col("source")).alias("source"), "text").where(F.col("source").isin(names) & (F.col("text") != ""))
-    sample = named.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(MAX_LABELLED).collect() if names else []
+    # ids that hash under a bar first: the bar follows the number of named documents, so no task sends more than its share
+    bar = min(1.0, 1.2 * MAX_LABELLED / max(1, named.count())) if names else 0.0
+    drawn = named.withColumn("__h", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))).where(F.col("__h") < F.lit(int(bar * (1 << 30))))
+    sample = drawn.orderBy("__h", "doc_id").limit(MAX_LABELLED).select("doc_id", "source", "text").collect() if names else []
     sample = sorted(sample, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
     model = SourceModel(len(names)).fit([r["text"] for r in sample], np.array([names.index(r["source"]) for r in sample], dtype=np.int64)) if names else None
     sized = cut(_sized(documents, names, model, tokenizers))
