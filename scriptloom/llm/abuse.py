@@ -45,6 +45,7 @@ SIGNS = str.maketrans("013457@$€!|", "oieastaseil")
 
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|\n+")
 _APART = re.compile(r"(?<!\w)([^\W_])([ .\-_*·])(?:[^\W_]\2)+[^\W_](?!\w)")
+_WRAPPED = re.compile(r"(?<=[^\s.!?…:])[ \t]*\n[ \t>]*(?=[^\W\d_A-ZÀ-Þ])")
 _TOKEN = re.compile(r"[\w@$€!|*]+")
 _MARKUP = re.compile(r"<[^<>]{0,200}>")
 _TWICE = re.compile(r"(.)\1+")
@@ -66,6 +67,9 @@ def sentences(text: str) -> list[tuple[str, ...]]:
     """The sentences of a text as tuples of plain words. Empty ones are left out."""
     if "<" in text:
         text = _MARKUP.sub(" ", text)
+    if "\n" in text:
+        # a line that goes on in lower case was only wrapped
+        text = _WRAPPED.sub(" ", text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
         text = "".join(c for c in text if unicodedata.category(c) != "Cf").casefold().translate(LOOKALIKE)

@@ -57,3 +57,7 @@ def test_frame(spark):
     assert len(got) == 122 and got[900]["score"] == 0 and not got[901]["abusive"]
     assert sum(got[i]["abusive"] == (y > 0.5) for i, (_, y) in enumerate(docs)) >= 115
     assert {r["source"] for r in rates_by_source(scored).collect()} == {"src", None}
+
+
+def test_wrapped_lines():
+    assert sentences("nobody asked for\nyour opinion.\nGo home\nLoser") == [("nobody", "asked", "for", "your", "opinion"), ("go", "home"), ("loser",)]
