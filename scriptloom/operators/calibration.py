@@ -37,6 +37,12 @@ def cross_calibrated(df: DataFrame, key: str, score: str, label: str, method: st
     return calibrate(marked, marked, score, label, "none") if out is None else out
 
 
+def best_method(rows: DataFrame) -> DataFrame:
+    """The row of (method, ece, ...) with the least ece; of equals sigmoid before isotonic before none. A handful of rows are sorted."""
+    order = F.array_position(F.array(F.lit("sigmoid"), F.lit("isotonic"), F.lit("none")), F.col("method"))
+    return rows.orderBy(F.round("ece", 9), order).limit(1)
+
+
 def class_quantiles(df: DataFrame, p: str, label: str, levels: list[float]) -> DataFrame:
     """(level, q): the conformal quantile of 1 - p(true class)."""
     s = F.when(F.col(label).cast("int") == 1, 1 - F.col(p)).otherwise(F.col(p))

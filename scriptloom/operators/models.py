@@ -154,6 +154,51 @@ def student_cdf(t: float, df: float) -> float:
     return 1 - i / 2 if t > 0 else i / 2
 
 
+def beta_ratio(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+
+
+def p_of_correlation(r: float | None, n: int) -> float | None:
+    """Two-sided p-value of a correlation of n pairs; None where it is undefined."""
+    if r is None or n < 3 or math.isnan(r):
+        return None
+    return 0.0 if abs(r) >= 1 else beta_ratio((n - 2) / 2, 0.5, 1 - r * r)
+
+
+def p_of_f(f: float | None, k: int, n: int) -> float | None:
+    """p-value of an F statistic of k groups and n rows; None where it is undefined."""
+    return None if f is None or n <= k or k < 2 else beta_ratio((n - k) / 2, (k - 1) / 2, (n - k) / (n - k + (k - 1) * f))
+
+
+def grid_search(df: DataFrame, family: str, task: str, features: Sequence[str], grid: dict[str, Sequence], folds: int = 5, parallelism: int = 2) -> tuple[dict, DataFrame]:
+    """(best parameters, (params, score) of every point) by cross-validation over folds of `fold`, refitted by the caller.
+
+    The score is the area under the curve, or the negative root mean squared error.
+    """
+    from itertools import product
+
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    pipe = build_pipeline(family, task, features)
+    est = pipe.getStages()[-1]
+    builder = ParamGridBuilder()
+    for name, values in grid.items():
+        builder = builder.addGrid(getattr(est, name), list(values))
+    points = builder.build()
+    ev = BinaryClassificationEvaluator(labelCol="label") if task == "classification" else RegressionEvaluator(labelCol="label", metricName="rmse")
+    fitted = CrossValidator(estimator=pipe, estimatorParamMaps=points, evaluator=ev, foldCol="fold", numFolds=folds, parallelism=parallelism).fit(df)
+    sign = 1.0 if task == "classification" else -1.0
+    rows = [({p.name: v for p, v in pt.items()}, sign * m) for pt, m in zip(points, fitted.avgMetrics)]
+    best = max(rows, key=lambda r: r[1])[0]
+    assert len(rows) == len(list(product(*grid.values())))
+    return best, df.sparkSession.createDataFrame([(str(sorted(p.items())), float(m)) for p, m in rows], "params string, score double")
+
+
 def correlated_t(diff: Sequence[float], rope: float, test_share: float = 0.2) -> tuple[float, float, float]:
     """Posterior chances that the first is worse, as good within the rope, and better, from paired fold differences."""
     n = len(diff)

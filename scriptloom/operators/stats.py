@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,37 @@ def eta_squared(df: DataFrame, group: str, y: str) -> DataFrame:
     return t.select("n", F.col("k").alias("n_groups"), F.try_divide(F.try_divide("between", F.col("k") - 1), F.try_divide("within", F.col("n") - F.col("k"))).alias("f_stat"), F.try_divide(F.col("between"), F.col("between") + F.col("within")).alias("eta_squared"))
 
 
+def audit(df: DataFrame, metrics: Sequence[str], groups: Sequence[str], target: str, least: int = 30) -> DataFrame:
+    """(variable, test, n, stat, p_value, flagged): Pearson and Spearman of each metric with the target, and eta squared of each group.
+
+    Under `least` rows the statistic is null. A correlation is flagged above 0.30 in size, eta squared above 0.09.
+    """
+    from .models import p_of_correlation, p_of_f
+
+    @F.pandas_udf("double")
+    def p_r(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([p_of_correlation(a, b) for a, b in zip(r, n)], dtype="float64")
+
+    @F.pandas_udf("double")
+    def p_f(f: pd.Series, k: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) else p_of_f(a, b, c) for a, b, c in zip(f, k, n)], dtype="float64")
+
+    parts = []
+    for m in metrics:
+        r = pearson_spearman(df, m, target)
+        for t in ("pearson", "spearman"):
+            stat = F.when(F.col("n") >= least, F.col(t))
+            parts.append(r.select(F.lit(m).alias("variable"), F.lit(t).alias("test"), "n", stat.alias("stat"), p_r(stat, "n").alias("p_value"), (F.abs(stat) > 0.30).alias("flagged")))
+    for g in groups:
+        e = eta_squared(df, g, target)
+        stat = F.when(F.col("n") >= least, F.col("eta_squared"))
+        parts.append(e.select(F.lit(g).alias("variable"), F.lit("eta_squared").alias("test"), "n", stat.alias("stat"), p_f("f_stat", "n_groups", "n").alias("p_value"), (stat > 0.09).alias("flagged")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def pivot_counts(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
     """Counts of `row` by fixed values of `column`, 0 where there are none, with their total."""
     out = df.groupBy(row).agg(*[F.count_if(F.col(column) == v).alias(v) for v in values])

@@ -1,16 +1,10 @@
-"""Session helpers: table access, the shared checkpoint folder, size-checked broadcasts."""
+"""Session helpers: table access, the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows and bytes up to which a side may be broadcast after it has been counted.
-BROADCAST_ROWS = 20_000
-BROADCAST_BYTES = 8 << 20
-
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A local session for tests and benches."""
@@ -41,7 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scriptloom-")
+    path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scriptloom-")
     sc.setCheckpointDir(path)
     return path
 
@@ -50,8 +44,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting `df`; a larger side is left to a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
