@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import row_numbers, running_sums
+from .ranking import quantiles, row_numbers, running_sums
 
 EPS = 1e-7
 
@@ -69,7 +69,8 @@ def reliability(df: DataFrame, y: str, p: str, n_bins: int = 10, strategy: str =
     if strategy == "equal_width":
         placed = rows.withColumn("bin", F.least(F.floor(F.col(p) * n_bins), F.lit(n_bins - 1)).cast("int"))
     elif strategy == "equal_size":
-        edges = rows.agg(F.percentile(p, [i / n_bins for i in range(1, n_bins)]).alias("__edges"))
+        cuts = quantiles(rows, p, {f"e{i}": i / n_bins for i in range(1, n_bins)})
+        edges = cuts.select(F.array(*cuts.columns).alias("__edges"))
         placed = rows.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("__edges", lambda e: e <= F.col(p))))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import average_ranks
+from .ranking import average_ranks, quantiles
 
 
 def correlation(x: str, y: str) -> Column:
@@ -24,10 +24,10 @@ def summary_long(df: DataFrame, metrics: Sequence[tuple[str, Column]]) -> DataFr
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n, mean, std, min, q25, q50, q75, max) with exact quantiles and the sample standard deviation."""
-    parts = [
-        df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.5).alias("q50"), F.percentile(c, 0.75).alias("q75"), F.max(c).alias("max")).select(F.lit(c).alias("column"), "*")
-        for c in columns
-    ]
+    parts = []
+    for c in columns:
+        moments = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+        parts.append(moments.join(F.broadcast(quantiles(df, c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}))).select(F.lit(c).alias("column"), "n", "mean", "std", "min", "q25", "q50", "q75", "max"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

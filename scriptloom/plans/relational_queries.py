@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import relational, stats
 from ..operators.dedupe import keep_one
-from ..operators.ranking import average_ranks
+from ..operators.ranking import average_ranks, quantiles
 from ..session import table
 from ..sources.readers import derive_ratings, id_validity
 from .base import FILMS_SQL, films
@@ -210,14 +210,18 @@ _DEC6 = "case when release_year_parsed is null then 'unknown' when release_year_
 def decade_profile(spark: SparkSession, d: str) -> DataFrame:
     """Films, median budget and mean rating by decade."""
     f = films(spark, d, "release_year_parsed", "budget", "vote_average").withColumn("decade", scalars.decade_of_five(F.col("release_year_parsed")))
-    return f.groupBy("decade").agg(F.count("*").alias("n"), F.round(F.median(scalars.positive(F.col("budget")) / 1e6), 2).alias("median_budget_m"), F.round(F.avg("vote_average"), 4).alias("mean_rating"))
+    f = f.withColumn("decade", F.coalesce("decade", F.lit(""))).withColumn("m", scalars.positive(F.col("budget")) / 1e6)
+    out = f.groupBy("decade").agg(F.count("*").alias("n"), F.round(F.avg("vote_average"), 4).alias("mean_rating")).join(quantiles(f, "m", {"median_budget_m": 0.5}, ["decade"]), "decade", "left")
+    return out.select(F.nullif("decade", F.lit("")).alias("decade"), "n", F.round("median_budget_m", 2).alias("median_budget_m"), "mean_rating")
 
 
 @query(f"with {FILMS_SQL} select lower(trim(primary_genre)) as genre, count(*) as n, round(median(revenue / budget), 4) as median_ratio from films where budget > 0 and revenue > 0 group by 1 having count(*) >= 5")
 def group_profile(spark: SparkSession, d: str) -> DataFrame:
     """Median ratio of revenue to budget by genre, of genres with at least five films."""
     f = films(spark, d, "primary_genre", "budget", "revenue").where("budget > 0 and revenue > 0")
-    return f.groupBy(F.lower(F.trim("primary_genre")).alias("genre")).agg(F.count("*").alias("n"), F.round(F.median(F.col("revenue") / F.col("budget")), 4).alias("median_ratio")).where("n >= 5")
+    f = f.select(F.coalesce(F.lower(F.trim("primary_genre")), F.lit("")).alias("genre"), (F.col("revenue") / F.col("budget")).alias("ratio"))
+    out = f.groupBy("genre").agg(F.count("*").alias("n")).where("n >= 5").join(quantiles(f, "ratio", {"median_ratio": 0.5}, ["genre"]), "genre")
+    return out.select(F.nullif("genre", F.lit("")).alias("genre"), "n", F.round("median_ratio", 4).alias("median_ratio"))
 
 
 @query(

@@ -60,11 +60,11 @@ def best_by_direction(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {FILMS_SQL} select 'train' as run, 'rating' as target, imdb_id as id, vote_average as score, imdb_rating as y from films")
 def oof_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """Parallel arrays of a run record as rows; one record per decade of films is written as JSON and read again."""
-    f = films(spark, d, "release_year_parsed", "vote_average", "imdb_rating").withColumn("dec", F.floor(F.coalesce("release_year_parsed", F.lit(0)) / 10))
-    sorted_rows = f.groupBy("dec", F.pmod(F.xxhash64("imdb_id"), F.lit(50)).alias("part")).agg(F.array_sort(F.collect_list(F.struct("imdb_id", "vote_average", "imdb_rating"))).alias("r"))
-    rec = F.to_json(F.struct(F.transform("r", lambda x: x["imdb_id"]).alias("ids"), F.create_map(F.lit("rating"), F.struct(F.transform("r", lambda x: x["vote_average"]).alias("score"), F.transform("r", lambda x: x["imdb_rating"]).alias("y"))).alias("per_target")))
-    return reports.oof_rows(sorted_rows.select(F.lit("train").alias("run"), rec.alias("j")), "run", "j")
+    """Parallel arrays of run records as rows; a record per film is written as JSON and read again."""
+    f = films(spark, d, "vote_average", "imdb_rating")
+    one = F.struct(F.array("vote_average").alias("score"), F.array("imdb_rating").alias("y"))
+    rec = F.to_json(F.struct(F.array("imdb_id").alias("ids"), F.create_map(F.lit("rating"), one).alias("per_target")))
+    return reports.oof_rows(f.select(F.lit("train").alias("run"), rec.alias("j")), "run", "j")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import graph, screenplay, sequence, vector
 from ..operators.models import topics
+from ..operators.ranking import quantiles
 from ..session import table
 from ..streaming.events import windowed_counts
 from .base import SCENES_SQL, UNITS_SQL, scenes, units
@@ -96,7 +97,7 @@ def rare_words(spark: SparkSession, d: str) -> DataFrame:
     w = _words(spark, d)
     counts = w.groupBy("w").agg(F.count("*").alias("n"))
     z = counts.join(F.broadcast(counts.agg(F.sum("n").alias("t")))).select("w", F.round(F.log10(1e9 * F.col("n") / F.col("t")), 6).alias("z"))
-    cut = z.agg(F.percentile("z", 0.25).alias("q"))
+    cut = quantiles(z, "z", {"q": 0.25})
     # counts per document first, so that a common word is joined once per document
     per = w.groupBy("doc_id", "w").agg(F.count("*").alias("c"))
     return per.join(z, "w").join(F.broadcast(cut)).groupBy("doc_id").agg(F.round(F.sum(F.col("z") * F.col("c")) / F.sum("c"), 4).alias("mean_zipf"), F.round(F.sum(F.when(F.col("z") <= F.col("q"), F.col("c")).otherwise(0)) / F.sum("c"), 6).alias("share_rare"))

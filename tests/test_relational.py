@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scriptloom.functions import scalars
 from scriptloom.operators import metrics, models, relational, splits, stats
 from scriptloom.operators.dedupe import keep_one
-from scriptloom.operators.ranking import average_ranks, row_numbers
+from scriptloom.operators.ranking import average_ranks, quantiles, row_numbers
 
 
 def test_keep_one(spark):
@@ -31,6 +31,23 @@ def test_ranks_against_brute_force(spark):
     want = [i for i, _, v in sorted((r for r in rows if r[2] is not None), key=lambda r: (-r[2], r[0]))]
     assert [got[i] for i in want] == list(range(1, len(want) + 1))
     assert average_ranks(df.where("false"), "v").count() == 0
+    # null is a group like any other
+    some = df.withColumn("g", F.when(F.col("g") == "a", F.col("g")))
+    assert row_numbers(some, "v", "id", ["g"]).count() == 500 and {r["g"] for r in average_ranks(some, "v", ["g"]).collect()} == {"a", None}
+
+
+def test_quantiles(spark):
+    import numpy as np
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", None]), float(rnd.randrange(30))) for _ in range(301)] + [("a", None), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in quantiles(df, "v", {"q1": 0.25, "m": 0.5, "top": 1.0}, ["g"]).collect()}
+    assert set(got) == {"a", None}
+    for g in got:
+        v = [x for h, x in rows if h == g and x is not None]
+        assert [got[g]["q1"], got[g]["m"], got[g]["top"]] == pytest.approx(list(np.quantile(v, [0.25, 0.5, 1.0])))
+    assert quantiles(df.where("false"), "v", {"m": 0.5}).first()["m"] is None
 
 
 def test_joins_and_sets(spark):
