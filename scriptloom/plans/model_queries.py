@@ -159,7 +159,7 @@ def linear_attribution(spark: SparkSession, d: str) -> DataFrame:
     return _linear(spark, d).select("imdb_id", "feature", F.round("contribution", 5).alias("contribution"))
 
 
-@query(_LIN + ", g as (select feature, avg(abs(contribution)) as a, avg(contribution) as m from l group by 1) select feature, round(a, 6) as mean_abs, row_number() over (order by a desc, feature) as rank from g")
+@query(_LIN + ", g as (select feature, avg(abs(contribution)) as a, avg(contribution) as m from l group by 1) select feature, round(a, 6) as mean_abs, (row_number() over (order by a desc, feature))::int as rank from g")
 def global_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Features by mean contribution."""
     return attribution.global_ranking(_linear(spark, d)).select("feature", F.round("mean_abs", 6).alias("mean_abs"), "rank")

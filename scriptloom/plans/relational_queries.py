@@ -48,8 +48,8 @@ def left_join_enrich(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""with {FILMS_SQL}, {_BEST}, m as (select f.*, r.id as rid from films f left join best r using (imdb_id)),
 flags as (select rid is not null as a, coalesce(budget > 0 and revenue > 0, false) as b, coalesce(effective_rating > 0, false) as c, coalesce(release_year_parsed between 1900 and 2025, false) as dd, coalesce(release_year_parsed >= 1980, false) as e from m)
-select 0 as step, 'all' as label, count(*) as n from flags union all select 1, 'matched', count_if(a) from flags union all select 2, 'money', count_if(a and b) from flags
-union all select 3, 'rated', count_if(a and b and c) from flags union all select 4, 'year', count_if(a and b and c and dd) from flags union all select 5, 'recent', count_if(a and b and c and dd and e) from flags"""
+select 0 as step, 'all' as label, count(*) as n from flags union all select 1, 'matched', count_if(a)::bigint from flags union all select 2, 'money', count_if(a and b)::bigint from flags
+union all select 3, 'rated', count_if(a and b and c)::bigint from flags union all select 4, 'year', count_if(a and b and c and dd)::bigint from flags union all select 5, 'recent', count_if(a and b and c and dd and e)::bigint from flags"""
 )
 def filter_funnel(spark: SparkSession, d: str) -> DataFrame:
     """Survivors of the corpus filters, in one scan of the joined table."""
@@ -59,8 +59,8 @@ def filter_funnel(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {FILMS_SQL} select 'unique id' as rule, 0::bigint as n union all select 'title', count_if(not coalesce(title <> '', false)) from films
-union all select 'rating range', count_if(not coalesce(vote_average between 0 and 10, false)) from films union all select 'finite log', count_if(not coalesce(isfinite(log_budget), false)) from films"""
+    f"""with {FILMS_SQL} select 'unique id' as rule, 0::bigint as n union all select 'title', count_if(not coalesce(title <> '', false))::bigint from films
+union all select 'rating range', count_if(not coalesce(vote_average between 0 and 10, false))::bigint from films union all select 'finite log', count_if(not coalesce(isfinite(log_budget), false))::bigint from films"""
 )
 def validate_films(spark: SparkSession, d: str) -> DataFrame:
     """Violations of the hard checks on films."""
@@ -117,7 +117,7 @@ def duplicate_members(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """with a as (select source, rank() over (order by count(*) desc) as rank_a from documents where source is not null group by 1),
 b as (select source, rank() over (order by sum(length(text)) desc) as rank_b from documents where source is not null and text is not null group by 1)
-select source, rank_a, rank_b, rank_a - rank_b as delta from a full join b using (source)"""
+select source, rank_a::int as rank_a, rank_b::int as rank_b, (rank_a - rank_b)::int as delta from a full join b using (source)"""
 )
 def rank_full_outer(spark: SparkSession, d: str) -> DataFrame:
     """Sources ranked by documents and by characters. The windows hold a row per source."""
@@ -179,7 +179,7 @@ def ratings_years(spark: SparkSession, d: str) -> DataFrame:
     return derive_ratings(table(spark, d, "ratings")).select("id", "release_year_parsed")
 
 
-@query("select count(*) as total, count_if(regexp_matches(imdb_id, '^tt\\d{7,8}$')) as valid, count(*) - count_if(regexp_matches(imdb_id, '^tt\\d{7,8}$')) as invalid, count(distinct case when regexp_matches(imdb_id, '^tt\\d{7,8}$') then imdb_id end) as distinct_valid from ratings")
+@query("select count(*) as total, count_if(regexp_matches(imdb_id, '^tt\\d{7,8}$'))::bigint as valid, (count(*) - count_if(regexp_matches(imdb_id, '^tt\\d{7,8}$')))::bigint as invalid, count(distinct case when regexp_matches(imdb_id, '^tt\\d{7,8}$') then imdb_id end) as distinct_valid from ratings")
 def id_validity_counts(spark: SparkSession, d: str) -> DataFrame:
     """Valid and invalid ids of the ratings."""
     return id_validity(table(spark, d, "ratings"))
@@ -244,7 +244,7 @@ def grouping_cuts(spark: SparkSession, d: str) -> DataFrame:
     return df.groupingSets([[df.l_returnflag, df.l_linestatus], [df.l_returnflag], []], df.l_returnflag, df.l_linestatus).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 
-@query("select stratum, count_if(split = 'train') as train, count_if(split = 'cal') as cal, count_if(split = 'test') as test, count(*) as total from split_assignments group by 1")
+@query("select stratum, count_if(split = 'train')::bigint as train, count_if(split = 'cal')::bigint as cal, count_if(split = 'test')::bigint as test, count(*) as total from split_assignments group by 1")
 def pivot_split_diag(spark: SparkSession, d: str) -> DataFrame:
     """Counts of each stratum by split."""
     return stats.pivot_counts(table(spark, d, "split_assignments"), "stratum", "split", ["train", "cal", "test"])
@@ -384,7 +384,7 @@ def fold_assign(spark: SparkSession, d: str) -> DataFrame:
     return folds(o, "o_orderkey", "o_orderstatus", "h", 5).select("o_orderkey", "fold")
 
 
-@query("with m as (select count(*) as n, sum((revenue > budget)::int) as pos from films_joined where budget > 0 and revenue > 0) select pos, n - pos as neg, round(n / (2.0 * pos), 6) as w_pos, round(n / (2.0 * (n - pos)), 6) as w_neg from m")
+@query("with m as (select count(*) as n, sum((revenue > budget)::int) as pos from films_joined where budget > 0 and revenue > 0) select pos::bigint as pos, (n - pos)::bigint as neg, round(n / (2.0 * pos), 6) as w_pos, round(n / (2.0 * (n - pos)), 6) as w_neg from m")
 def class_weights(spark: SparkSession, d: str) -> DataFrame:
     """Balanced weights of a binary target."""
     from ..operators.models import balanced_weight
@@ -403,7 +403,7 @@ def average_rank(spark: SparkSession, d: str) -> DataFrame:
     return f.join(average_ranks(f, "popularity"), "popularity").select("imdb_id", "rank")
 
 
-@query(f"""with {FILMS_SQL}, r as (select *, row_number() over (partition by lower(trim(primary_genre)) order by popularity desc nulls last, imdb_id) as place from films) select lower(trim(primary_genre)) as genre, imdb_id, popularity, place from r where place <= 3""")
+@query(f"""with {FILMS_SQL}, r as (select *, row_number() over (partition by lower(trim(primary_genre)) order by popularity desc nulls last, imdb_id) as place from films) select lower(trim(primary_genre)) as genre, imdb_id, popularity, place::int as place from r where place <= 3""")
 def top_per_genre(spark: SparkSession, d: str) -> DataFrame:
     """The three most popular films of each genre."""
     f = films(spark, d, "primary_genre", "popularity").withColumn("genre", F.lower(F.trim("primary_genre")))

@@ -66,7 +66,7 @@ def lexical_profile(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""with {_DOCS}, f as (select doc_id, len(toks) as w, len(list_filter(string_split_regex(text, '[.!?]+'), lambda x: trim(x) <> '')) as s,
 list_sum(list_transform(toks, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - case when regexp_matches(x, '[^l]e$') and regexp_matches(x, '[^aeiouy]e$') then 1 else 0 end))) as y from docs)
-select doc_id, w as n_words, s as n_sentences, y::bigint as n_syllables, round(3.9e-1 * w / s + 1.18e1 * y / w - 1.559e1, 4) as grade from f where w > 0 and s > 0"""
+select doc_id, w::int as n_words, s::int as n_sentences, y::bigint as n_syllables, round(3.9e-1 * w / s + 1.18e1 * y / w - 1.559e1, 4) as grade from f where w > 0 and s > 0"""
 )
 def flesch_kincaid(spark: SparkSession, d: str) -> DataFrame:
     """Reading grade of each document with words and sentences."""
@@ -178,7 +178,7 @@ def _markup(spark: SparkSession, d: str) -> DataFrame:
 @query(
     rf"""with {SCENES_SQL}, u as (select scene_id, unnest(dialogue_units) as u from once where dialogue_units is not null), t as (select scene_id, trim(regexp_replace(coalesce(u.speaker, ''), '\s*\([^)]*\)\s*$', '')) as speaker, trim(coalesce(u.text, '')) as text from u),
 l as (select scene_id, count(*) as n_lines, count(distinct case when speaker <> '' and text <> '' then speaker end) as n_speakers, sum(length(text))::bigint as dialogue_chars, count_if(speaker = '') as n_warnings from t group by 1)
-select scene_id, 1::bigint as n_scenes, coalesce(n_lines, 0) as n_lines, coalesce(n_speakers, 0) as n_speakers, coalesce(dialogue_chars, 0) as dialogue_chars, coalesce(n_warnings, 0) as n_warnings from once left join l using (scene_id)"""
+select scene_id, 1::bigint as n_scenes, coalesce(n_lines, 0) as n_lines, coalesce(n_speakers, 0) as n_speakers, coalesce(dialogue_chars, 0) as dialogue_chars, coalesce(n_warnings, 0)::bigint as n_warnings from once left join l using (scene_id)"""
 )
 def structure_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Structural measures of tagged scripts: every scene is written as markup and read again."""
@@ -234,7 +234,7 @@ def graph_density(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""with {_NODES}, r as (select imdb_id, n_lines, row_number() over (partition by imdb_id order by n_lines, speaker) as up, row_number() over (partition by imdb_id order by n_lines desc, speaker) as dn, count(*) over (partition by imdb_id) as n from nodes),
 b as (select imdb_id, max(case when dn = ceil(n * 0.1) then n_lines end) as bar from r group by 1)
-select imdb_id, count(*) as n_nodes, round((2.0 * sum(up * n_lines) - (count(*) + 1) * sum(n_lines)) / (count(*) * sum(n_lines)), 6) as gini, round(max(n_lines) / sum(n_lines), 6) as top1_share, round(sum(case when dn <= 3 then n_lines end) / sum(n_lines), 6) as top3_share, count_if(n_lines >= bar) as n_leads from r join b using (imdb_id) group by 1"""
+select imdb_id, count(*) as n_nodes, round((2.0 * sum(up * n_lines) - (count(*) + 1) * sum(n_lines)) / (count(*) * sum(n_lines)), 6) as gini, round(max(n_lines) / sum(n_lines), 6) as top1_share, round(sum(case when dn <= 3 then n_lines end) / sum(n_lines), 6) as top3_share, count_if(n_lines >= bar)::bigint as n_leads from r join b using (imdb_id) group by 1"""
 )
 def gini_and_shares(spark: SparkSession, d: str) -> DataFrame:
     """How lines are shared among the cast."""

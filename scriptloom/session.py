@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,11 +23,21 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    reach_workers(spark)
     return spark
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it. On machines without that path ship it with --py-files."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    held = env.get("PYTHONPATH", "")
+    if root not in held.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [held, root]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; column pruning and filters reach this scan."""
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
