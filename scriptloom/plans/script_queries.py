@@ -26,7 +26,8 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.explode("toks").alias("w"))
+    # an outer explode, as the filter that a plain one infers would tokenise every text a second time
+    return _docs(spark, d).select("doc_id", F.explode_outer("toks").alias("w")).where("w is not null")
 
 
 def _in(words: tuple[str, ...]) -> str:
