@@ -26,9 +26,11 @@ def term_frequencies(records: DataFrame, key: str, texts: str, rare_below: int =
     as records. `mark` is 'rare' below `rare_below` records, 'common' above that share of the records, else 'useful'; a term
     that is both is rare. No records give no rows.
     """
-    found = records.select(key, F.flatten(F.transform(F.filter(texts, lambda t: t.isNotNull()), terms_of)).alias("terms")).where(F.size("terms") > 0)
-    per_record = found.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    # an outer explode, as the filter that a plain one infers would cut every text into terms a second time
+    found = records.select(key, F.explode_outer(F.flatten(F.transform(F.filter(texts, lambda t: t.isNotNull()), terms_of))).alias("term"))
+    per_record = found.where("term is not null").groupBy(key, "term").agg(F.count("*").alias("n"))
     terms = per_record.groupBy("term").agg(F.sum("n").alias("n_occurrences"), F.count("*").alias("n_records"))
-    total = found.agg(F.count("*").alias("__total"))
+    # a record has a term if one of its texts has a letter, which is found without cutting it into terms
+    total = records.where(F.exists(texts, lambda t: t.rlike(r"\p{L}"))).agg(F.count("*").alias("__total"))
     mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") > common_above * F.col("__total"), "common").otherwise("useful")
     return terms.join(F.broadcast(total)).select("term", "n_occurrences", "n_records", mark.alias("mark"))
