@@ -126,25 +126,27 @@ def diameter(g: dict) -> float:
 
 
 def modularity(g: dict) -> float | None:
-    """Weighted modularity of communities merged greedily by the unweighted gain; None without edges."""
-    if not any(g.values()):
+    """Weighted modularity of communities merged greedily by the unweighted gain; None without edges. Equal gains go by name."""
+    m2 = sum(len(v) for v in g.values())
+    if not m2:
         return None
-
-    def quality(parts: list[set], weighted: bool) -> float:
-        w = {(u, v): (x if weighted else 1.0) for u in g for v, x in g[u].items()}
-        m2 = sum(w.values())
-        deg = {u: sum(w[u, v] for v in g[u]) for u in g}
-        return sum(sum(w.get((u, v), 0.0) for u in p for v in p) / m2 - (sum(deg[u] for u in p) / m2) ** 2 for p in parts)
-
-    parts = [{u} for u in sorted(g)]
-    best = quality(parts, False)
-    while len(parts) > 1:
-        gains = [(quality([p for k, p in enumerate(parts) if k not in (i, j)] + [parts[i] | parts[j]], False), -i, -j) for i in range(len(parts)) for j in range(i + 1, len(parts)) if any(v in g[u] for u in parts[i] for v in parts[j])]
-        if not gains or max(gains)[0] <= best + 1e-12:
+    names = sorted(g)
+    part = {u: [u] for u in names}
+    degree = {u: len(g[u]) / m2 for u in names}
+    between = {u: {v: 1 / m2 for v in g[u]} for u in names}
+    while True:
+        gain, u, v = max(((2 * (e - degree[a] * degree[b]), a, b) for a in between for b, e in between[a].items() if a < b), key=lambda x: (round(x[0], 12), [-ord(c) for c in x[1] + x[2]]), default=(0.0, "", ""))
+        if gain <= 1e-12:
             break
-        best, i, j = max(gains)
-        parts = [p for k, p in enumerate(parts) if k not in (-i, -j)] + [parts[-i] | parts[-j]]
-    return quality(parts, True)
+        part[u] += part.pop(v)
+        degree[u] += degree.pop(v)
+        for w, e in between.pop(v).items():
+            if w != u:
+                between[u][w] = between[w][u] = between[u].get(w, 0.0) + e
+            between[w].pop(v, None)
+    weight = sum(x for u in g for x in g[u].values())
+    strength = {u: sum(g[u].values()) for u in g}
+    return sum(sum(g[u].get(v, 0.0) for u in p for v in p) / weight - (sum(strength[u] for u in p) / weight) ** 2 for p in part.values())
 
 
 def eigen_centrality(g: dict, who: str, rounds: int = 1000, tol: float = 1e-6) -> float:
