@@ -144,7 +144,7 @@ _ONCE = "select scene_id, min_by(dialogue_units, loaded_at) as dialogue_units fr
 _TERMS = rf"""
 with once as ({_ONCE}),
 units as (select scene_id, unnest(dialogue_units) as u from once),
-words as (select scene_id, unnest(regexp_extract_all(lower(replace(u.text, '’', '''')), '\p{{L}}[\p{{L}}''\-]*')) as term from units where u.text is not null),
+words as (select scene_id, lower(unnest(regexp_extract_all(replace(u.text, '’', ''''), '\p{{L}}[\p{{L}}''\-]*'))) as term from units where u.text is not null),
 counted as (select term, count(*) as n_occurrences, count(distinct scene_id) as n_records from words group by term),
 total as (select count(distinct scene_id) as n from words)
 select term, n_occurrences, n_records, case when n_records < 3 then 'rare' when n_records > 0.25 * n then 'common' else 'useful' end as mark from counted, total

@@ -16,7 +16,7 @@ TERM = r"\p{L}[\p{L}'\-]*"
 
 def terms_of(text: Column) -> Column:
     """All terms of a text in order, lower case, with a curly apostrophe read as a plain one. Null gives null."""
-    return F.regexp_extract_all(F.lower(F.translate(text, "’", "'")), F.lit(TERM), F.lit(0))
+    return F.transform(F.regexp_extract_all(F.translate(text, "’", "'"), F.lit(TERM), F.lit(0)), F.lower)
 
 
 def term_frequencies(records: DataFrame, key: str, texts: str, rare_below: int = 3, common_above: float = 0.25) -> DataFrame:
