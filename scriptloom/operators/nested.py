@@ -8,15 +8,17 @@
 3. Each group is pivoted into one table, whose rows carry the key of their parent and their place in it.
 
 Rules of the reading: null entries take no number. A scene is every non-null entry of a `scenes` list, in reading order over
-the whole record. A unit is an object below `dialogue_units` with a speaker or a text, or a list of one or two strings
-(speaker, text); other objects and lists there are containers. Further fields of a unit belong to it, whatever they hold.
-Payloads that are not valid JSON objects give no rows; of several deliveries of a record the last valid one counts.
+the whole record. A unit is an object below `dialogue_units` with a speaker or a text, a list of one or two strings
+(speaker, text), or a string by itself (text); other objects and lists there are containers. Further fields of a unit belong to it, whatever they hold.
+Payloads that are not valid JSON objects or lists, or nested some hundreds of levels deep, give no rows; of several
+deliveries of a record the last valid one counts.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,12 +42,19 @@ def loads(payload: str | None) -> dict | list | None:
         raise ValueError(x)
 
     try:
-        value = json.loads(payload, parse_constant=no)
+        value = json.loads(payload, parse_constant=no, parse_int=lambda s: int(s) if len(s) < 4000 else Decimal(s))
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict | list) else None
 
 
+def _text(value: object) -> str:
+    """A leaf as text; halves of surrogate pairs, which JSON may escape but UTF-8 can't hold, become replacement characters."""
+    if isinstance(value, str):
+        return value if value.isascii() else value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return str(value) if isinstance(value, Decimal) else json.dumps(value)
+
+
 def _inner(value: object) -> object:
     """JSON that is held in a string, opened; anything else as it is."""
     if isinstance(value, str) and value.lstrip()[:1] in ("[", "{"):
@@ -72,7 +81,7 @@ def triples(payload: str) -> Iterator[tuple[str, str | None, int, int]]:
             for v in value:
                 yield from leaf(path + "[]", v, s, u)
         elif value is not None:
-            yield path, value if isinstance(value, str) else json.dumps(value), s, u
+            yield _text(path), _text(value), s, u
 
     def units(path: str, value: object) -> Iterator[tuple[str, str | None, int, int]]:
         nonlocal unit
@@ -93,6 +102,10 @@ def triples(payload: str) -> Iterator[tuple[str, str | None, int, int]]:
             else:
                 for v in value:
                     yield from units(path + "[]", v)
+        elif isinstance(value, str):
+            unit += 1
+            yield path, None, scene, unit
+            yield from leaf(path, {TEXT: value}, scene, unit)
 
     def walk(path: str, value: object) -> Iterator[tuple[str, str | None, int, int]]:
         nonlocal scene, unit
@@ -124,7 +137,7 @@ def triples(payload: str) -> Iterator[tuple[str, str | None, int, int]]:
             for v in value:
                 yield from walk(path + "[]", v)
         elif value is not None:
-            yield path, value if isinstance(value, str) else json.dumps(value), 0, 0
+            yield _text(path), _text(value), 0, 0
 
     def below(path: str, value: object) -> Iterator[tuple[str, str | None, int, int]]:
         """Units held deeper than directly under their scene."""
@@ -155,7 +168,10 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for record, payload in zip(pdf["record_id"], pdf["payload"]):
-            rows += [(record, *t, i) for i, t in enumerate(triples(payload))]
+            try:
+                rows += [(record, *t, i) for i, t in enumerate(triples(payload))]
+            except RecursionError:
+                continue
             if len(rows) > 50_000:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []

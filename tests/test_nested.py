@@ -44,3 +44,12 @@ def test_triples_round_trip():
 
 def test_empty(spark):
     assert unit_positions(rows(spark).where("record_id > 99")).count() == 0
+
+
+def test_odd_values(spark):
+    payloads = [(1, '{"scenes": [{"dialogue_units": [{"speaker": "\\ud800x", "text": "\\ud83d\\ude00"}]}]}'), (2, '{"n": ' + "9" * 5000 + "}"), (3, "[" * 900 + "]" * 900), (4, "[" * 90_000 + "]" * 90_000), (5, '{"scenes": [1, "x", [], {"dialogue_units": "just text"}]}')]
+    df = spark.createDataFrame([(k, p, "2021-01-01") for k, p in payloads], "record_id long, payload string, loaded_at string")
+    t = flat_tables(df)
+    assert [(r["speaker"], r["text"]) for r in t["units"].orderBy("record_id").collect()] == [("\ufffdx", "\U0001f600"), (None, "just text")]
+    assert t["scenes"].where("record_id = 5").count() == 4
+    assert t["records"].where("record_id = 2").count() == 1
