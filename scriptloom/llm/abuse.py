@@ -19,10 +19,11 @@ others, drawn by a hash of their id.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,9 +49,13 @@ _APART = re.compile(r"(?<!\w)([^\W_])([ .\-_*·])(?:[^\W_]\2)+[^\W_](?!\w)")
 _WRAPPED = re.compile(r"(?<=[^\s.!?…:])[ \t]*\n[ \t>]*(?=[^\W\d_A-ZÀ-Þ])")
 _TOKEN = re.compile(r"[\w@$€!|*]+")
 _MARKUP = re.compile(r"<[^<>]{0,200}>")
+# invisible format characters, and accents that stand by themselves
+_HIDDEN = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff]")
+_ACCENT = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]")
 _TWICE = re.compile(r"(.)\1+")
 
 
+@lru_cache(1 << 18)
 def _plain(token: str) -> str:
     """A token in plain letters; '' if it holds none."""
     token = token.strip("!|")
@@ -63,26 +68,25 @@ def _plain(token: str) -> str:
     return _TWICE.sub(r"\1", token)
 
 
-def sentences(text: str) -> list[tuple[str, ...]]:
-    """The sentences of a text as tuples of plain words. Empty ones are left out."""
+def raw_sentences(text: str) -> list[list[str]]:
+    """The sentences of a text as lists of tokens, freed from markup, hidden characters, accents and letters set apart."""
     if "<" in text:
         text = _MARKUP.sub(" ", text)
     if "\n" in text:
         # a line that goes on in lower case was only wrapped
         text = _WRAPPED.sub(" ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf").casefold().translate(LOOKALIKE)
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).casefold().translate(LOOKALIKE)
+        text = _ACCENT.sub("", unicodedata.normalize("NFKD", text))
     else:
         text = text.casefold()
     text = _APART.sub(lambda m: m[0].replace(m[2], ""), text)
-    out = []
-    for s in _SENTENCE.split(text):
-        words = tuple(w for w in map(_plain, _TOKEN.findall(s)) if w)
-        if words:
-            out.append(words)
-    return out
+    return [_TOKEN.findall(s) for s in _SENTENCE.split(text)]
+
+
+def sentences(text: str) -> list[tuple[str, ...]]:
+    """The sentences of a text as tuples of plain words. Empty ones are left out."""
+    return [words for s in raw_sentences(text) if (words := tuple(w for w in map(_plain, s) if w))]
 
 
 def features(word: str, buckets: int) -> list[int]:
@@ -121,9 +125,10 @@ class AbuseModel:
     def __init__(self, embeddings: np.ndarray, weights: np.ndarray, bias: np.ndarray, threshold: float = 0.5):
         self.embeddings, self.weights, self.bias, self.threshold = embeddings, weights, bias, threshold
         self._logit: dict[str, float] = {}
+        self._token: dict[str, float | None] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_logit": {}}
+        return self.__dict__ | {"_logit": {}, "_token": {}}
 
     def word(self, word: str) -> float:
         """What a word adds to the logit of its sentence, before the mean: the layers are linear, so one number is enough."""
@@ -140,9 +145,27 @@ class AbuseModel:
         z = sum(map(self.word, words)) / len(words) + float(self.bias[1] - self.bias[0])
         return 1.0 / (1.0 + np.exp(-z)) if z > -500 else 0.0
 
+    def token(self, token: str) -> float | None:
+        """What a token as written adds, None if it holds no word; kept, so that each spelling is taken apart once per worker."""
+        x = self._token.get(token, 0)
+        if x == 0:
+            if len(self._token) > 300_000:
+                self._token.clear()
+            plain = _plain(token)
+            x = self._token[token] = (self.word(plain) or 1e-12) if plain else None
+        return x
+
     def score(self, text: str | None) -> float:
         """The score of the worst sentence; 0 for null and empty texts."""
-        return max(map(self.sentence, sentences(text)), default=0.0) if text else 0.0
+        if not text:
+            return 0.0
+        worst = -np.inf
+        for tokens in raw_sentences(text):
+            parts = [x for x in map(self.token, tokens) if x is not None]
+            if parts:
+                worst = max(worst, sum(parts) / len(parts))
+        z = worst + float(self.bias[1] - self.bias[0])
+        return 1.0 / (1.0 + math.exp(-z)) if z > -500 else 0.0
 
 
 def _train(words: _Bag, bag: _Bag, weight: np.ndarray, steps: int, dim: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
