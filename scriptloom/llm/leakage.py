@@ -7,11 +7,12 @@ Words are compared by their letters and digits alone, so case, punctuation, spac
    the pointer moves on if a random bit of (j, word) says so. Windows at a small edit distance agree in most places.
 2. Bit-sampling LSH, repeated. Each repetition walks with its own random bits and hashes `sampled` places of the string;
    equal hashes make a document and an item candidates. Equal windows always meet.
-3. Exact verification. A candidate's texts are aligned: stretches of the item's own wording with at most a word changed here
+3. Exact verification. Of windows that met, those within the edit distance are kept. A candidate's texts are aligned: stretches of the item's own wording with at most a word changed here
    and there, at an edit distance within `max_changed` of their length. The item leaked if the stretches hold at least
    `share` of the words of its passage.
 
-Words that many items begin with alike are an instruction and not part of the passage.
+Sentences that many items begin with are an instruction and not part of the passage. A stretch must hold words that few items
+have: phrases and names that many share are no leak.
 
 All documents are read, whole, in one pass without a shuffle. The items' hashes are sent to the workers in blocks whose size
 is checked (`block_items`); more items than one block hold are matched in as many passes.
@@ -22,7 +23,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +34,13 @@ from pyspark.sql import DataFrame
 from functools import lru_cache
 
 #: Parameters: words of a window, step of the document windows, repetitions, sampled places of a repetition.
-WINDOW, STRIDE, REPETITIONS, SAMPLED = 10, 3, 4, 9
+WINDOW, STRIDE, REPETITIONS, SAMPLED = 10, 3, 6, 9
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKUP = re.compile(r"<[^<>]{0,200}>|&[a-zA-Z]{2,8};|&#\d{1,7};")
 _HYPHEN = re.compile(r"(?<=\w)-\s*\n\s*(?=\w)")
+# invisible format characters, and accents that stand by themselves
+_HIDDEN = re.compile("[\u00ad\u0300-\u036f\u061c\u180e\u1ab0-\u1aff\u1dc0-\u1dff\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\u20d0-\u20ff\ufeff]")
 _JOINED = re.compile(r"(?<=\w)['’](?=\w)")
 
 
@@ -46,8 +49,7 @@ def words_of(text: str) -> list[str]:
     if "<" in text or "&" in text:
         text = html.unescape(_MARKUP.sub(lambda m: html.unescape(m[0]) if m[0][0] == "&" else " ", text))
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKD", text))
     text = _JOINED.sub("", _HYPHEN.sub("", text))
     return _WORD.findall(text.casefold())
 
@@ -101,29 +103,32 @@ def passages(items: list[tuple[int, str]], shared_by: int = 3) -> dict[int, list
     return {i: (rest if heads[head] >= shared_by and rest else whole) for i, (head, rest, whole) in split.items()}
 
 
-def stretches(item: np.ndarray, where: dict[int, list[int]], doc: np.ndarray, least: int = 8, max_changed: float = 0.2) -> np.ndarray:
-    """Which words of the item stand in the document in stretches of the item's own wording.
+def places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words in order, and where each stands."""
+    order = np.argsort(ids, kind="stable")
+    return ids[order], order
+
+
+def stretches(item: np.ndarray, where: tuple[np.ndarray, np.ndarray], doc: np.ndarray, rare: np.ndarray | None = None, least: int = 8, max_changed: float = 0.2, own_words: float = 0.6) -> np.ndarray:
+    """Which words of the item stand in the document in stretches of the item's own wording. `where` are the item's `places`.
 
     Along each diagonal, equal words no more than three apart make a run; a run of at least `least` words of which at most
     `max_changed` differ is a stretch. An inserted or dropped word moves on to a neighbouring diagonal, where the run goes on
-    as one of its own; two runs that adjoin in both texts count together.
+    as one of its own; two runs that adjoin in both texts count together. With `rare`, the words that few items have, at least
+    `own_words` of those in a stretch must be equal, and there must be one: a phrase that many items share is no wording of its own.
     """
-    n = len(item)
-    held = np.zeros(n, dtype=bool)
-    diagonals: dict[int, list[int]] = defaultdict(list)
-    for j, w in enumerate(doc.tolist()):
-        for i in where.get(w, ()):
-            diagonals[j - i].append(i)
-    runs = []
-    for d, at in diagonals.items():
-        if len(at) < 3:
-            continue
-        a = 0
-        for b in range(1, len(at) + 1):
-            if b == len(at) or at[b] - at[b - 1] > 3:
-                if b - a >= 3:
-                    runs.append((at[a], at[b - 1] + 1, d, at[a:b]))
-                a = b
+    held = np.zeros(len(item), dtype=bool)
+    lo, hi = np.searchsorted(where[0], doc, "left"), np.searchsorted(where[0], doc, "right")
+    n = hi - lo
+    if not n.any():
+        return held
+    j = np.repeat(np.arange(len(doc)), n)
+    i = where[1][np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+    order = np.lexsort((i, j - i))
+    i, d = i[order], (j - i)[order]
+    cuts = np.flatnonzero((np.diff(d) != 0) | (np.diff(i) > 3)) + 1
+    first, last = np.append(0, cuts), np.append(cuts, len(i))
+    runs = [(int(i[a]), int(i[b - 1]) + 1, int(d[a]), i[a:b]) for a, b in zip(first.tolist(), last.tolist()) if b - a >= 3]
     runs.sort(key=lambda r: (r[0], r[2]))
     used = [False] * len(runs)
     for x, (s, e, d, at) in enumerate(runs):
@@ -139,43 +144,75 @@ def stretches(item: np.ndarray, where: dict[int, list[int]], doc: np.ndarray, le
                 hits += len(at2)
                 end, dd = e2, d2
         length = end - s
-        if length >= least and hits >= (1 - max_changed) * length:
+        if length >= least and hits >= (1 - max_changed) * length and _own(rare, s, end, [runs[y][3] for y in chain], own_words):
             for y in chain:
                 used[y] = True
-                held[runs[y][3]] = True
             # a changed word inside a stretch is part of it
             held[s:end] = True
-        else:
-            if len(at) >= least and len(at) >= (1 - max_changed) * (e - s):
-                held[s:e] = True
+        elif len(at) >= least and len(at) >= (1 - max_changed) * (e - s) and _own(rare, s, e, [at], own_words):
+            held[s:e] = True
     return held
 
 
+def _own(rare: np.ndarray | None, start: int, end: int, equal: list[np.ndarray], share: float) -> bool:
+    """Whether enough of the rare words of a stretch are equal."""
+    if rare is None:
+        return True
+    n = int(rare[start:end].sum())
+    same = np.unique(np.concatenate(equal))
+    return n > 0 and int(rare[same].sum()) >= share * n
+
+
+def rare_words(items: dict[int, list[str]], share: float = 0.02, least: int = 2) -> set[str]:
+    """Words that at most `share` of the items have, or `least` of them."""
+    n = Counter(w for words in items.values() for w in set(words))
+    return {w for w, k in n.items() if k <= max(least, share * len(items))}
+
+
+def _close(a: np.ndarray, a_at: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_end: np.ndarray, window: int, equal: float = 0.8) -> np.ndarray:
+    """Whether two windows that met hold `equal` of the words of the shorter in the same order, straight or with one word added or dropped at any place."""
+    steps = np.arange(window)
+    pick = lambda x, at, end, none: np.where((at[:, None] + steps) < end[:, None], x[np.minimum(at[:, None] + steps, len(x) - 1)], np.uint64(none))
+    x, y = pick(a, a_at, a_end, 0), pick(b, b_at, b_end, 1)
+    straight = np.zeros((len(x), window + 1), dtype=np.int16)
+    np.cumsum(x == y, axis=1, out=straight[:, 1:])
+    best = straight[:, -1].copy()
+    for p, q in ((x[:, 1:], y[:, :-1]), (x[:, :-1], y[:, 1:])):
+        rest = np.zeros((len(x), window), dtype=np.int16)
+        rest[:, :-1] = np.cumsum((p == q)[:, ::-1], axis=1)[:, ::-1]
+        np.maximum(best, (straight[:, :window] + rest).max(axis=1), out=best)
+    size = np.minimum(np.minimum(a_end - a_at, b_end - b_at), window)
+    return best >= np.ceil(equal * size)
+
+
 class ItemIndex:
     """The hashes and words of a block of items, as sent to the workers."""
 
-    def __init__(self, items: dict[int, list[str]], window: int = WINDOW, stride: int = STRIDE, repetitions: int = REPETITIONS, sampled: int = SAMPLED):
+    def __init__(self, items: dict[int, list[str]], rare: set[str] | None = None, window: int = WINDOW, stride: int = STRIDE, repetitions: int = REPETITIONS, sampled: int = SAMPLED):
         self.window, self.stride, self.repetitions, self.sampled = window, stride, repetitions, sampled
         self.ids = {i: ids_of(w) for i, w in items.items()}
+        rare = rare_words(items) if rare is None else rare
+        self.rare = {i: np.array([w in rare for w in words], dtype=bool) for i, words in items.items()}
         self.where = {}
-        sig, own = [], []
+        sig, own, start = [], [], []
+        base = 0
         for i, ids in self.ids.items():
-            at: dict[int, list[int]] = defaultdict(list)
-            for p, w in enumerate(ids.tolist()):
-                at[w].append(p)
-            self.where[i] = dict(at)
+            self.where[i] = places(ids)
             if len(ids):
                 starts = np.arange(max(1, len(ids) - window + 1))
                 s = signatures(ids, starts, window, repetitions, sampled, np.full(len(starts), len(ids)))
                 sig.append(s.ravel())
                 own.append(np.full(s.size, i, dtype=np.int64))
+                start.append(np.tile(starts + base, repetitions))
+                base += len(ids)
+        self.words = np.concatenate([*self.ids.values(), np.zeros(0, dtype=np.uint64)])
+        ends = dict(zip(self.ids, np.cumsum([len(ids) for ids in self.ids.values()]).tolist()))
         self.sig = np.concatenate(sig) if sig else np.zeros(0, dtype=np.uint64)
         self.own = np.concatenate(own) if own else np.zeros(0, dtype=np.int64)
+        self.start = np.concatenate(start) if start else np.zeros(0, dtype=np.int64)
         order = np.argsort(self.sig, kind="stable")
-        self.sig, self.own = self.sig[order], self.own[order]
-        keep = np.ones(len(self.sig), dtype=bool)
-        keep[1:] = (self.sig[1:] != self.sig[:-1]) | (self.own[1:] != self.own[:-1])
-        self.sig, self.own = self.sig[keep], self.own[keep]
+        self.sig, self.own, self.start = self.sig[order], self.own[order], self.start[order]
+        self.end = np.array([ends[i] for i in self.own.tolist()], dtype=np.int64)
 
     def candidates(self, docs: list[np.ndarray]) -> list[tuple[int, int]]:
         """(place in `docs`, item) of every document and item that share a hash. All documents are walked at once."""
@@ -191,12 +228,18 @@ class ItemIndex:
         if not starts or not len(self.sig):
             return []
         ends = np.cumsum([len(ids) for ids in docs])
-        own = np.concatenate(owner)
-        sig = signatures(np.concatenate(docs), np.concatenate(starts), self.window, self.repetitions, self.sampled, ends[own])
-        lo = np.searchsorted(self.sig, sig.ravel(), "left")
-        hi = np.searchsorted(self.sig, sig.ravel(), "right")
-        hit = np.flatnonzero(hi > lo)
-        found = {(d, i) for d, a, b in zip(own[hit % len(own)].tolist(), lo[hit].tolist(), hi[hit].tolist()) for i in self.own[a:b].tolist()}
+        own, first, words = np.concatenate(owner), np.concatenate(starts), np.concatenate(docs)
+        sig = signatures(words, first, self.window, self.repetitions, self.sampled, ends[own]).ravel()
+        lo, hi = np.searchsorted(self.sig, sig, "left"), np.searchsorted(self.sig, sig, "right")
+        n = hi - lo
+        hit = np.repeat(np.arange(len(sig)), n)
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[hit]
+        hit %= len(own)
+        found: set[tuple[int, int]] = set()
+        for k in range(0, len(hit), 50_000):
+            h, e = hit[k : k + 50_000], entry[k : k + 50_000]
+            ok = _close(words, first[h], ends[own[h]], self.words, self.start[e], self.end[e], self.window)
+            found.update(zip(own[h[ok]].tolist(), self.own[e[ok]].tolist()))
         return sorted(found)
 
     def leaks(self, texts: list[str], share: float) -> Iterator[tuple[int, int, float]]:
@@ -209,7 +252,7 @@ class ItemIndex:
                 end += 1
             docs = [ids_of(words_of(t)) for t in texts[k:end]]
             for d, i in self.candidates(docs):
-                held = stretches(self.ids[i], self.where[i], docs[d]).mean()
+                held = stretches(self.ids[i], self.where[i], docs[d], self.rare[i]).mean()
                 if held >= share:
                     yield k + d, i, float(held)
             k = end
@@ -224,11 +267,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.4, block
     """
     texts = items.where("item_id is not null and text is not null").groupBy("item_id").agg({"text": "min"}).toDF("item_id", "text").orderBy("item_id")
     all_items = passages([(r["item_id"], r["text"]) for r in texts.toLocalIterator()])
-    ids = sorted(all_items)
+    ids, rare = sorted(all_items), rare_words(all_items)
     spark = documents.sparkSession
     out = None
     for k in range(0, max(1, len(ids)), block_items):
-        index = spark.sparkContext.broadcast(ItemIndex({i: all_items[i] for i in ids[k : k + block_items]}, **lsh))
+        index = spark.sparkContext.broadcast(ItemIndex({i: all_items[i] for i in ids[k : k + block_items]}, rare, **lsh))
 
         def match(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             own = index.value

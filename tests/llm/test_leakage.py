@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from scriptloom.llm.leakage import ItemIndex, find_leaks, ids_of, passages, signatures, stretches, words_of
+from scriptloom.llm.leakage import ItemIndex, find_leaks, ids_of, passages, places, signatures, stretches, words_of
 
 
 def texts(n, seed=1):
@@ -41,10 +41,7 @@ def test_signatures_do_not_depend_on_neighbours():
 
 def held(item, doc):
     ids = ids_of(item)
-    where = {}
-    for p, w in enumerate(ids.tolist()):
-        where.setdefault(w, []).append(p)
-    return stretches(ids, where, ids_of(doc)).mean()
+    return stretches(ids, places(ids), ids_of(doc)).mean()
 
 
 def test_stretches():
