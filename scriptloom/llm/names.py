@@ -246,6 +246,9 @@ def _round(entities: DataFrame) -> DataFrame:
         "film string, y string, x string, full_x boolean, formals_x array<string>, titles_x array<string>, full_y boolean, formals_y array<string>, titles_y array<string>, score double",
     )
     scored = scored.withColumn("score", F.round("score", 3) + F.when(F.arrays_overlap("titles_x", "titles_y"), 0.5).otherwise(0.0))
+    # an initial that one of them took over must not link two people whose given names are known and differ
+    named = F.col("full_x") & F.col("full_y") & (F.size("formals_x") > 0) & (F.size("formals_y") > 0)
+    scored = scored.where(~named | F.arrays_overlap("formals_x", "formals_y"))
     # each link as seen from either end
     seen = scored.select(
         "film",

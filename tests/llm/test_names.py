@@ -33,6 +33,14 @@ def test_groups_and_pairs(spark):
     assert len(pairs) == 15 + 6 + 1 + 1 + 1 and all(a < b for a, b in pairs)
 
 
+def test_initial_is_no_bridge(spark):
+    who = ["MARGARET RECLYMP", "PEGGY RECCLYMP", "PENELOPE RECLYMP", "P. RECLYMP", "DANIEL MNLO", "CAPTAIN DANIELLE MALO", "DAN. MNLO"]
+    df = spark.createDataFrame([("f", s) for s in who], "imdb_id string, speaker string")
+    got = groups(resolve_names(df, "imdb_id", "speaker"))
+    assert ["MARGARET RECLYMP", "PEGGY RECCLYMP"] in got and ["P. RECLYMP", "PENELOPE RECLYMP"] in got
+    assert not any({"DANIEL MNLO", "CAPTAIN DANIELLE MALO"} <= set(g) for g in got)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "imdb_id string, speaker string")
     assert resolve_names(df, "imdb_id", "speaker").count() == 0
