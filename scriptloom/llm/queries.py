@@ -159,7 +159,20 @@ select genre_label, decade_label from sample_targets left join cells on genre =
 where coalesce(n, 0) < greatest(min_films, ceil(target_permille * sample_size / 1000.0))
 """
 
+_REPORT = r"""
+with films as (select imdb_id, min(lower(regexp_replace(primary_genre_bucketed, '^\s+|\s+$', '', 'g'))) as genre, min(release_year_parsed) as y
+  from films_joined where imdb_id is not null and release_year_parsed between 1900 and 2025 group by imdb_id),
+cells as (select genre, case when y < 1980 then 'pre_1980s' when y < 1990 then '1980s' when y < 2000 then '1990s' when y < 2010 then '2000s' else '2010s_2020s' end as decade, count(*) as n
+  from films group by all),
+plan as (select *, lower(trim(genre_label)) as genre, lower(trim(decade_label)) as decade, sum(target_permille) over () as whole from sample_targets),
+seats as (select genre, decade, r, sample_size, case when r <= min_films then 0e0 when target_permille > 0 then (r - 5e-1) / target_permille end as p from plan join cells using (genre, decade), unnest(range(1, n + 1)) as u(r)),
+chosen as (select genre, decade, count(*) as taken from (select *, row_number() over (order by p, genre, decade, r) as place from seats where p is not null) where p = 0 or place <= sample_size group by all),
+report as (select genre_label, decade_label, coalesce(n, 0) as available, greatest(ceil(round(target_permille * sample_size / whole::double, 9))::bigint, min_films) as wanted, coalesce(taken, 0) as taken from plan left join cells using (genre, decade) left join chosen using (genre, decade))
+select *, greatest(0, wanted - available) as short_by, available < wanted as short from report
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p3_report": _REPORT,
     "p2_found": rf"""
 with once as ({_ONCE})
 select scene_id from once
