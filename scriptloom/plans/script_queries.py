@@ -187,7 +187,10 @@ def structure_metrics(spark: SparkSession, d: str) -> DataFrame:
     return out.select("scene_id", "n_scenes", "n_lines", "n_speakers", "dialogue_chars", "n_warnings")
 
 
-@query()
+@query(
+    rf"""with {SCENES_SQL}, u as (select scene_id, generate_subscripts(dialogue_units, 1)::int as line_no, unnest(dialogue_units) as u from once where dialogue_units is not null)
+select scene_id, line_no, trim(regexp_replace(coalesce(u.speaker, ''), '\s*\([^)]*\)\s*$', '')) as speaker, trim(coalesce(u.text, '')) as text from u"""
+)
 def speaker_attribution(spark: SparkSession, d: str) -> DataFrame:
     """The lines of the tagged scripts with their speakers."""
     return screenplay.parse_scripts(_markup(spark, d), "scene_id", "xml").where("kind = 'line'").select("scene_id", "line_no", "speaker", "text")
