@@ -6,8 +6,8 @@ a softmax layer gives the probability that the sentence is abusive. A document s
 in a long text is not averaged away.
 
 Labels are votes on documents, not on sentences. Training therefore alternates: all sentences of voted-abusive documents
-start as abusive, each round keeps only those the model still holds for abusive, and documents whose votes the model firmly
-contradicts are left out of the next round, as raters err.
+start as abusive, each round keeps only those that a model trained without the document still holds for abusive, and voted-
+abusive documents without any such sentence are left out of the next round, as raters err.
 
 Before the n-grams, a text is freed from the usual disguises: invisible characters, look-alike letters of other alphabets,
 digits and signs for letters, letters set apart, and repeated letters. Asterisks stay, as a masked word is known by them.
@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Parameters of the model: hash buckets, dimensions, n-gram lengths.
-BUCKETS, DIM, NGRAMS = 1 << 16, 4, (3, 4, 5)
+BUCKETS, DIM, NGRAMS = 1 << 18, 4, (3, 4, 5)
 #: Bounds on the labelled documents used for training: voted abusive, and others.
-MAX_ABUSIVE, MAX_OTHERS = 1500, 3000
+MAX_ABUSIVE, MAX_OTHERS = 1500, 5000
+#: Neutral words added to every sentence, so that the mean of one or two common words says little.
+PAD = 2
 #: Length of a training step over the whole table of embeddings.
 STEP = 3.0
 #: Weight of the abusive sentences against all others, and the share of sentences of harmless documents that count as usual.
@@ -45,7 +47,8 @@ LOOKALIKE = str.maketrans("аеосрхуіјѕԁһкмтвнοαερικνυτ"
 SIGNS = str.maketrans("013457@$€!|", "oieastaseil")
 
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|\n+")
-_APART = re.compile(r"(?<!\w)([^\W_])([ .\-_*·])(?:[^\W_]\2)+[^\W_](?!\w)")
+_APART = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*·]{1,3}[^\W_](?![^\W_])){2,}")
+_GAP = re.compile(r"([ .\-_*·]{1,3})")
 _WRAPPED = re.compile(r"(?<=[^\s.!?…:])[ \t]*\n[ \t>]*(?=[^\W\d_A-ZÀ-Þ])")
 _TOKEN = re.compile(r"[\w@$€!|*]+")
 _MARKUP = re.compile(r"<[^<>]{0,200}>")
@@ -80,7 +83,7 @@ def raw_sentences(text: str) -> list[list[str]]:
         text = _ACCENT.sub("", unicodedata.normalize("NFKD", text))
     else:
         text = text.casefold()
-    text = _APART.sub(lambda m: m[0].replace(m[2], ""), text)
+    text = _APART.sub(lambda m: _GAP.sub(lambda g: " " if len(g[1]) > 1 else "", m[0]), text)
     return [_TOKEN.findall(s) for s in _SENTENCE.split(text)]
 
 
@@ -90,20 +93,21 @@ def sentences(text: str) -> list[tuple[str, ...]]:
 
 
 def features(word: str, buckets: int) -> list[int]:
-    """Hash buckets of a word and its character n-grams."""
+    """Hash buckets of a word and its character n-grams; masked words share one more."""
     marked = f"<{word}>"
-    grams = {marked} | {marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)}
+    grams = {marked, "*"} if "*" in word else {marked}
+    grams |= {marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)}
     return [xxhash.xxh32_intdigest(g) % buckets for g in sorted(grams)]
 
 
 class _Bag:
     """Rows that are means of other rows, with the transposed sums for the gradient."""
 
-    def __init__(self, rows: list[list[int]], n_columns: int):
+    def __init__(self, rows: list[list[int]], n_columns: int, pad: int = 0):
         sizes = np.array([len(r) for r in rows])
         self.columns = np.fromiter((c for r in rows for c in r), dtype=np.int64, count=int(sizes.sum()))
         self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.scale = (1.0 / sizes).astype(np.float32)
+        self.scale = (1.0 / (sizes + pad)).astype(np.float32)
         owner = np.repeat(np.arange(len(rows)), sizes)
         order = np.argsort(self.columns, kind="stable")
         self.back = owner[order]
@@ -142,7 +146,7 @@ class AbuseModel:
 
     def sentence(self, words: tuple[str, ...]) -> float:
         """Probability that a sentence is abusive."""
-        z = sum(map(self.word, words)) / len(words) + float(self.bias[1] - self.bias[0])
+        z = sum(map(self.word, words)) / (len(words) + PAD) + float(self.bias[1] - self.bias[0])
         return 1.0 / (1.0 + np.exp(-z)) if z > -500 else 0.0
 
     def token(self, token: str) -> float | None:
@@ -163,7 +167,7 @@ class AbuseModel:
         for tokens in raw_sentences(text):
             parts = [x for x in map(self.token, tokens) if x is not None]
             if parts:
-                worst = max(worst, sum(parts) / len(parts))
+                worst = max(worst, sum(parts) / (len(parts) + PAD))
         z = worst + float(self.bias[1] - self.bias[0])
         return 1.0 / (1.0 + math.exp(-z)) if z > -500 else 0.0
 
@@ -207,7 +211,7 @@ def fit(docs: list[tuple[str, float]], other_weight: float = 1.0, rounds: int =
     vocabulary = sorted({w for s in unique for w in s})
     wid = {w: i for i, w in enumerate(vocabulary)}
     words = _Bag([features(w, buckets) for w in vocabulary], buckets)
-    bag = _Bag([[wid[w] for w in s] for s in unique], len(vocabulary))
+    bag = _Bag([[wid[w] for w in s] for s in unique], len(vocabulary), PAD)
     own = [np.array([sid[s] for s in ss]) for ss, _ in kept]
     label = np.array([y for _, y in kept])
     fold = np.arange(len(kept)) % folds
@@ -221,7 +225,8 @@ def fit(docs: list[tuple[str, float]], other_weight: float = 1.0, rounds: int =
                 if use and k != f:
                     np.add.at(weight[:, 1], ids, g * y)
                     np.add.at(weight[:, 0], ids, (1 - g) if y and r else 0.0 if y else 1.0)
-            weight = np.minimum(weight, 20)
+            # a very frequent sentence counts no more than some, but keeps its ratio of votes
+            weight /= np.maximum(1.0, weight.sum(axis=1, keepdims=True) / 50)
             weight[:, 1] *= POSITIVE * weight[:, 0].sum() / max(weight[:, 1].sum(), 1e-9)
             fitted = _train(words, bag, weight.astype(np.float32), steps, dim, seed)
             if f < 0:
@@ -232,9 +237,11 @@ def fit(docs: list[tuple[str, float]], other_weight: float = 1.0, rounds: int =
                 judged[k] = prob[own[k]]
         # a sentence of an abusive document stays abusive if it stands out from nearly all sentences of the others
         usual = np.quantile(np.concatenate([p for p, y in zip(judged, label) if not y]), USUAL)
-        guess = [(p > usual).astype(float) for p in judged]
+        guess = [(p > (max(usual, 0.5) if r else usual)).astype(float) for p in judged]
         worst = np.array([p.max() for p in judged])
-        used = np.where(label, worst > usual, worst < max(0.9, usual))
+        # an abusive vote on a document without any such sentence is taken for an error; harmless ones all count, as those the
+        # model doubts are the ones it has most to learn from
+        used = np.where(label, worst > usual, True)
         threshold = _best_threshold(worst, label, other_weight)
 
 
