@@ -40,7 +40,7 @@ PAD = 2
 #: Length of a training step over the whole table of embeddings.
 STEP = 3.0
 #: Weight of the abusive sentences against all others, and the share of sentences of harmless documents that count as usual.
-POSITIVE, USUAL = 0.1, 0.98
+POSITIVE, USUAL = 0.2, 0.98
 
 # Look-alike letters of other alphabets, and signs that stand for letters.
 LOOKALIKE = str.maketrans("аеосрхуіјѕԁһкмтвнοαερικνυτ", "aeocpxyijsdhkmtbhoaepiknut")
@@ -216,43 +216,50 @@ def fit(docs: list[tuple[str, float]], other_weight: float = 1.0, rounds: int =
     label = np.array([y for _, y in kept])
     fold = np.arange(len(kept)) % folds
     guess: list[np.ndarray] = [np.full(len(ids), 1.0 / len(ids)) for ids in own]
+    harmless = [np.zeros(len(ids)) for ids in own]
     used, threshold = np.ones(len(kept), dtype=bool), 0.5
     for r in range(rounds + 1):
         judged: list[np.ndarray] = [np.zeros(0)] * len(kept)
         for f in range(folds) if r < rounds else [-1]:
             weight = np.zeros((len(unique), 2))
-            for ids, y, g, use, k in zip(own, label, guess, used, fold):
+            for ids, y, g, calm, use, k in zip(own, label, guess, harmless, used, fold):
                 if use and k != f:
                     np.add.at(weight[:, 1], ids, g * y)
-                    np.add.at(weight[:, 0], ids, (1 - g) if y and r else 0.0 if y else 1.0)
+                    np.add.at(weight[:, 0], ids, calm if y else 1.0)
             # a very frequent sentence counts no more than some, but keeps its ratio of votes
             weight /= np.maximum(1.0, weight.sum(axis=1, keepdims=True) / 50)
             weight[:, 1] *= POSITIVE * weight[:, 0].sum() / max(weight[:, 1].sum(), 1e-9)
             fitted = _train(words, bag, weight.astype(np.float32), steps, dim, seed)
-            if f < 0:
-                return AbuseModel(*fitted, threshold=threshold)
             z = bag.mean(words.mean(fitted[0])) @ fitted[1] + fitted[2]
             prob = 1.0 / (1.0 + np.exp(np.clip(z[:, 0] - z[:, 1], -60, 60)))
+            if f < 0:
+                # models of the folds see less and dare less: not under half of what nine in ten abusive documents reach now
+                reach = [prob[ids].max() for ids, y, use in zip(own, label, used) if y and use]
+                return AbuseModel(*fitted, threshold=max(threshold, 0.5 * float(np.quantile(reach, 0.1))) if reach else 0.5)
             for k in np.flatnonzero(fold == f):
                 judged[k] = prob[own[k]]
         # a sentence of an abusive document stays abusive if it stands out from nearly all sentences of the others
         usual = np.quantile(np.concatenate([p for p, y in zip(judged, label) if not y]), USUAL)
-        guess = [(p > (max(usual, 0.5) if r else usual)).astype(float) for p in judged]
         worst = np.array([p.max() for p in judged])
+        # half of what the clearest abusive documents reach, one half at most; in the first round scores don't mean much yet
+        floor = min(0.5, 0.5 * float(np.quantile(worst[label], 0.9)))
+        guess = [(p > (max(usual, floor) if r else usual)).astype(float) for p in judged]
+        # what lies between is left out of the next round
+        harmless = [(p <= usual).astype(float) for p in judged]
         # an abusive vote on a document without any such sentence is taken for an error; harmless ones all count, as those the
         # model doubts are the ones it has most to learn from
         used = np.where(label, worst > usual, True)
-        threshold = _best_threshold(worst, label, other_weight)
+        threshold = max(floor, _best_threshold(worst, label, other_weight))
 
 
 def _best_threshold(score: np.ndarray, label: np.ndarray, other_weight: float) -> float:
-    """The middle of the scores between which the votes are met best (F1), but not under one half."""
+    """The middle of the scores between which the votes are met best (F1)."""
     order = np.argsort(-score, kind="stable")
     hits = np.cumsum(label[order])
     f1 = 2 * hits / (np.cumsum(np.where(label[order], 1.0, other_weight)) + label.sum())
     k = int(np.argmax(f1))
     low = score[order[k + 1]] if k + 1 < len(score) else 0.0
-    return max(0.5, float((score[order[k]] + low) / 2))
+    return float((score[order[k]] + low) / 2)
 
 
 def labelled_sample(documents: DataFrame, votes: DataFrame, max_abusive: int = MAX_ABUSIVE, max_others: int = MAX_OTHERS) -> tuple[list[tuple[str, float]], float]:
