@@ -198,7 +198,11 @@ def is_full(p: dict) -> bool:
 
 
 def block_keys(p: dict) -> list[str]:
-    """Blocks of a parsed spelling: words, formal names, first and last three letters, all letters in order of the alphabet."""
+    """Blocks of a parsed spelling: words, formal names, first and last three letters, all letters in order of the alphabet.
+
+    Two words a slip apart share a block. From 6 letters a slip leaves the first or last three letters, or all letters if
+    two are swapped; words of 4 and 5 letters also get the word less each of its letters.
+    """
     keys: set[str] = set()
     for w in p.get("w", []):
         keys.add("w:" + w)
@@ -207,6 +211,9 @@ def block_keys(p: dict) -> list[str]:
             keys.add("a:" + w[:3])
             keys.add("z:" + w[-3:])
             keys.add("s:" + "".join(sorted(w)))
+        if TYPO_LEN <= len(w) < 6:
+            keys.add("d:" + w)
+            keys.update("d:" + w[:i] + w[i + 1 :] for i in range(len(w)))
     return sorted(keys)
 
 

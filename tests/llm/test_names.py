@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from scriptloom.llm.names import is_full, linked_pairs, parse, pair_score, resolve_names, slip
+from scriptloom.llm.names import block_keys, is_full, linked_pairs, parse, pair_score, resolve_names, slip
 
 FILM = [
     "VICTORIA LOSKEAN", "Tori Loskean", "LOSKEAN, V.", "DOCTOR VICTORIA LOSKEAN", "VICTORIA LOSKAEN", "VICTORIA-LOSKEAN (V.O.)",
@@ -60,3 +60,16 @@ def test_long_and_odd_spellings(spark):
     odd = ["A" * 20_000, "A B C D E F G H", "!!!", "(V.O.)", ",", "#1", "ÉÉÉ", "​"]
     df = spark.createDataFrame([("f", s) for s in odd], "imdb_id string, speaker string")
     assert resolve_names(df, "imdb_id", "speaker").count() == len(odd)
+
+
+def test_blocks_are_no_narrower_than_slips(spark):
+    for word in ["KOZA", "MARIA", "PIHASO", "LOSKEAN", "ABCDEFGHIJ"]:
+        slips = {word[:i] + c + word[j:] for i in range(len(word) + 1) for j in (i, i + 1) for c in ("", "Q", word[0])}
+        slips |= {word[:i] + word[i : i + 2][::-1] + word[i + 2 :] for i in range(len(word) - 1)}
+        for other in slips:
+            if slip(word, other):
+                assert set(block_keys({"w": [word]})) & set(block_keys({"w": [other]})), (word, other)
+    who = ["KOZA HOSPITAL", "KOZEA HOSPITAL", "TBOE BANK", "TOBE BANK", "MOLTA RADIO", "MOXTA RADIO"]
+    df = spark.createDataFrame([("f", s) for s in who], "imdb_id string, speaker string")
+    got = groups(resolve_names(df, "imdb_id", "speaker"))
+    assert got == [who[:2], who[4:], who[2:4]]
