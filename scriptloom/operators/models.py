@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, Imputer, StandardScaler, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 FAMILIES: dict[str, dict[str, Callable]] = {
     "linear": {"classification": lambda **p: LogisticRegression(**p), "regression": lambda **p: LinearRegression(**p)},
     "random_forest": {"classification": lambda **p: RandomForestClassifier(seed=42, **p), "regression": lambda **p: RandomForestRegressor(seed=42, **p)},
@@ -105,15 +107,19 @@ def permutation_importance(model: PipelineModel, df: DataFrame, key: str, featur
     return out.where("feature <> ''").join(F.broadcast(base)).select("feature", (F.col("loss") - F.col("__base")).alias("drop"))
 
 
-def topics(train: DataFrame, rows: DataFrame, key: str, tokens: str, k: int, vocabulary: int = 2000, min_docs: float = 5.0, iterations: int = 20) -> tuple[DataFrame, DataFrame]:
+def topics(train: DataFrame, rows: DataFrame, key: str, tokens: str, k: int, min_docs: float = 5.0, max_share: float = 0.5, iterations: int = 20, stop_words: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Topic shares (key, shares, entropy, dominant) of `rows` by a model fitted on `train` alone, and (topic, place, term, weight) of the ten strongest terms.
 
+    The vocabulary is every word of three characters or more, but for stop words (None: Spark's English list), in at least
+    `min_docs` training rows and at most `max_share` of them. Every iteration draws as many training rows as there are.
     Entropy is divided by ln k; the first of equal shares is dominant. A row without known tokens gets equal shares.
     """
-    words = F.filter(tokens, lambda t: F.length(t) >= 3)
+    stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else list(stop_words)
+    words = F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.isin(stop))
     prepared = lambda d: d.select(key, F.coalesce(words, F.array().cast("array<string>")).alias("words"))
-    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=min_docs).fit(prepared(train))
-    model = LDA(k=k, maxIter=iterations, seed=42, optimizer="online").fit(counts.transform(prepared(train)))
+    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=2**31 - 1, minDF=min_docs, maxDF=max_share).fit(prepared(train))
+    fitted = cut(counts.transform(prepared(train)).select("features"))
+    model = LDA(k=k, maxIter=iterations, seed=42, optimizer="online", subsamplingRate=1.0, learningOffset=1.0, optimizeDocConcentration=False).fit(fitted)
     shares = vector_to_array("topicDistribution")
     got = model.transform(counts.transform(prepared(rows))).select(key, shares.alias("shares"))
     total = F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)

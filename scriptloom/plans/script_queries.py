@@ -293,7 +293,7 @@ def topic_lda(spark: SparkSession, d: str) -> DataFrame:
     """Topic shares of every document; the model is fitted on the documents of training films."""
     docs = table(spark, d, "documents").select("doc_id", "imdb_id", "text").where("text is not null").withColumn("toks", tx.tokens(F.col("text")))
     train = docs.join(table(spark, d, "split_assignments").where("split = 'train'").select("imdb_id"), "imdb_id", "left_semi")
-    return topics(train, docs, "doc_id", "toks", 5, iterations=5)[0]
+    return topics(train, docs, "doc_id", "toks", 20, iterations=10)[0]
 
 
 @query("select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")

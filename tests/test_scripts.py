@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions import text as tx
 from scriptloom.operators import graph, screenplay, sequence, vector
+from scriptloom.operators.models import topics
 
 
 def lines(xml):
@@ -120,3 +121,14 @@ def test_vectors(spark):
     assert {(r["query"], r["place"]): r["neighbour"] for r in near}[10, 1] in (9, 11) and len(near) == 4
     pcs = vector.pca(df.where("g = 0"), df, "id", "v", 2)
     assert pcs.count() == 50 and len(pcs.first()["pc"]) == 2
+
+
+def test_topics_know_every_term(spark):
+    common = [f"common{i}" for i in range(2100)]
+    rows = [(i, common + ["filler"]) for i in range(6)] + [(i, ["rare", "filler"]) for i in range(6, 11)] + [(i, ["the", "filler"]) for i in range(11, 17)]
+    df = spark.createDataFrame(rows, "id int, toks array<string>")
+    shares, terms = topics(df, df, "id", "toks", 4, iterations=3)
+    top = {r["id"]: max(r["shares"]) for r in shares.collect()}
+    # a term beyond the 2,000 most frequent counts; stop words and terms of more than half of the rows don't
+    assert all(top[i] > 0.3 for i in range(11)) and all(abs(top[i] - 0.25) < 1e-9 for i in range(11, 17))
+    assert terms.where("term in ('the', 'filler')").count() == 0
