@@ -173,6 +173,12 @@ def list_column_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", list_column(F.col("genres_list")).alias("genres"), year_in_text(F.col("release_date")).alias("year"))
 
 
+@query()
+def list_column_parse_all(spark: SparkSession, d: str) -> DataFrame:
+    """Stringified lists and dates of every rating row, with damaged and double-quoted lists."""
+    return table(spark, d, "ratings").select("id", scalars.list_column(F.col("genres_list")).alias("genres"), scalars.year_in_text(F.col("release_date")).alias("year"))
+
+
 @query("select id, coalesce(release_year, case when regexp_matches(release_date, '^\\s*\\d{4}(\\D|$)') then regexp_extract(release_date, '^\\s*(\\d{4})', 1)::int when regexp_matches(release_date, '(^|\\D)\\d{4}\\s*$') then regexp_extract(release_date, '(\\d{4})\\s*$', 1)::int end) as release_year_parsed from ratings")
 def ratings_years(spark: SparkSession, d: str) -> DataFrame:
     """The year of every rating row."""

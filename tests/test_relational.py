@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +140,26 @@ def test_stats_edges(spark):
     assert r["eta_squared"] == pytest.approx(1.0) and r["f_stat"] is None
     assert stats.pearson_spearman(df.withColumn("x", F.col("y")).limit(2), "x", "y").first()["pearson"] is None
     assert [tuple(r) for r in stats.histogram(df, F.col("y"), 0.0, 10.0, 10).orderBy("bin").collect()] == [(2, 2), (3, 1), (10, 1)]
+
+
+def test_every_list_is_parsed(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    def brute(raw):
+        raw = (raw or "").strip()
+        if not re.fullmatch(r"\[.*\]", raw):
+            return []
+        try:
+            return json.loads(raw.replace("'", '"'))
+        except json.JSONDecodeError:
+            return [p.strip().strip("'").strip('"') for p in raw.strip("[]").split(",") if p.strip()]
+
+    lists = ["['Drama', 'Romance", "Drama, Thriller", "", None, "[]", "['A', 'B']", '["Sci-Fi, Fantasy", "B"]', "['Chad D'Or', 'X']", " ['A'] "]
+    spark.createDataFrame([(i, v, "1999-05-01") for i, v in enumerate(lists)], "id int, genres_list string, release_date string").write.parquet(f"{tmp_path}/ratings.parquet")
+    got = {r["id"]: r for r in entry.queries()["list_column_parse_all"](spark, str(tmp_path)).collect()}
+    assert {i: r["genres"] for i, r in got.items()} == {i: brute(v) for i, v in enumerate(lists)}
+    assert all(r["year"] == 1999 for r in got.values())
+    d = "/root/testdata/sf0.1"
+    raw = spark.read.parquet(f"{d}/ratings.parquet").select("id", "genres_list").collect()
+    rows = entry.queries()["list_column_parse_all"](spark, d).collect()
+    assert sorted((r["id"], r["genres"]) for r in rows) == sorted((r["id"], brute(r["genres_list"])) for r in raw)
