@@ -89,16 +89,17 @@ def lay_out(text: str, limit: int, overlap: int, speech_starts: set[int] | None
 PIECE = "piece_no int, n_pieces int, start_pos int, end_pos int, boundary string, piece string"
 
 
-def split_oversized(df: DataFrame, key: list[str], text: str, limit: int = 1200, overlap: int = 120) -> DataFrame:
+def split_oversized(df: DataFrame, key: list[str], text: str, limit: int = 1200, overlap: int = 120, lengths: str | None = None) -> DataFrame:
     """One row per piece: key columns, piece_no from 1, n_pieces, start_pos and end_pos (code points, end excluded), boundary, piece.
 
     A null text gives no piece, an empty one a single empty piece. A text within the limit is one piece. Repeated rows are
     cut each for itself. `boundary` names what the piece ends at; the last piece ends at "speech". Other columns of `df`
-    are dropped, so they can't clash.
+    are dropped, so they can't clash. `lengths` names a column with the lengths of the speeches that one line break each
+    joins to the text; without it, or where it is null, every line break counts as one between speeches.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be less than half of the limit")
-    rows = df.select(*key, F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+    rows = df.select(*key, F.col(text).alias("__text"), (F.col(lengths) if lengths else F.lit(None)).cast("array<int>").alias("__lengths")).where(F.col("__text").isNotNull())
     short = rows.where(F.length("__text") <= limit).select(
         *key, F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start_pos"), F.length("__text").alias("end_pos"), F.lit("speech").alias("boundary"), F.col("__text").alias("piece")
     )
@@ -106,14 +107,15 @@ def split_oversized(df: DataFrame, key: list[str], text: str, limit: int = 1200,
     def cut_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             src, out = [], []
-            for i, t in enumerate(pdf["__text"]):
-                pieces = lay_out(t, limit, overlap)
+            for i, (t, n) in enumerate(zip(pdf["__text"], pdf["__lengths"])):
+                starts = None if n is None else set((np.cumsum(n) + np.arange(1, len(n) + 1))[:-1].tolist())
+                pieces = lay_out(t, limit, overlap, starts)
                 for j, (a, b, s) in enumerate(pieces):
                     src.append(i)
                     out.append((j + 1, len(pieces), a, b, KINDS[s], t[a:b]))
             made = pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")])
             yield pd.concat([pdf[key].iloc[src].reset_index(drop=True), made], axis=1)
 
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
     long = rows.where(F.length("__text") > limit).mapInPandas(cut_rows, f"{keys}, {PIECE}")
     return short.unionByName(long)

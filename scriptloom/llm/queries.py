@@ -26,8 +26,8 @@ def p1_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "scenes").select("scene_id", "loaded_at", scenes.dialogue_text().alias("dialogue"))
-    return chunking.split_oversized(scenes.once(rows, "dialogue"), ["scene_id"], "dialogue", limit=1200, overlap=120)
+    rows = table(spark, d, "scenes").select("scene_id", "loaded_at", scenes.dialogue_text().alias("dialogue"), scenes.speech_lengths().alias("lengths"))
+    return chunking.split_oversized(scenes.once(rows, "dialogue", "lengths"), ["scene_id"], "dialogue", limit=1200, overlap=120, lengths="lengths")
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:

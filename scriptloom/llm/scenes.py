@@ -14,6 +14,12 @@ def dialogue_text(units: str = "dialogue_units") -> Column:
     return F.coalesce(F.array_join(F.transform(kept, lambda u: u["text"]), "\n"), F.lit(""))
 
 
+def speech_lengths(units: str = "dialogue_units") -> Column:
+    """Characters of each unit that `dialogue_text` joins."""
+    kept = F.filter(F.col(units), lambda u: u["text"].isNotNull() & (u["text"] != ""))
+    return F.coalesce(F.transform(kept, lambda u: F.length(u["text"])), F.array().cast("array<int>"))
+
+
 def once(scenes: DataFrame, *columns: str) -> DataFrame:
     """Each scene_id once, as first delivered. Partial aggregates absorb redeliveries before the shuffle."""
     return keep_one(scenes, ["scene_id"], [F.col("loaded_at")], ["scene_id", *columns])

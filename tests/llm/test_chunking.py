@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptloom.llm.chunking import lay_out, split_oversized
-from scriptloom.llm.scenes import dialogue_text, once
+from scriptloom.llm.scenes import dialogue_text, once, speech_lengths
 
 
 @settings(max_examples=200, deadline=None)
@@ -56,3 +56,13 @@ def test_dialogue(spark):
     df = spark.createDataFrame(rows, "scene_id long, dialogue_units array<struct<speaker:string,text:string>>, loaded_at string")
     got = {r[0]: r[1] for r in once(df.select("scene_id", "loaded_at", dialogue_text().alias("t")), "t").collect()}
     assert got == {1: "x\ny", 2: "", 3: ""}
+
+
+def test_breaks_inside_a_speech(spark):
+    one = ("é" * 30 + " ") * 20
+    rows = [(1, [("A", one + "\n\n" + one), ("B", None), ("B", one)]), (2, [("A", one + "\n" + one)])]
+    df = spark.createDataFrame(rows, "k long, dialogue_units array<struct<speaker:string,text:string>>").select("k", dialogue_text().alias("t"), speech_lengths().alias("n"))
+    cuts = lambda limit: {(r["k"], r["end_pos"], r["boundary"]) for r in split_oversized(df, ["k"], "t", limit, 120, "n").where("piece_no < n_pieces").collect()}
+    got = cuts(700)
+    assert (1, 622, "paragraph") in got and not any(b == "speech" for *_, b in got)
+    assert (1, 1243, "speech") in cuts(1300)
