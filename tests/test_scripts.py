@@ -132,3 +132,12 @@ def test_topics_know_every_term(spark):
     # a term beyond the 2,000 most frequent counts; stop words and terms of more than half of the rows don't
     assert all(top[i] > 0.3 for i in range(11)) and all(abs(top[i] - 0.25) < 1e-9 for i in range(11, 17))
     assert terms.where("term in ('the', 'filler')").count() == 0
+
+
+def test_projection_of_all_vectors(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["pca_project"](spark, "/root/testdata/sf0.001").collect()
+    assert {len(r["pc"]) for r in rows} == {32}
+    # components fitted on all rows centre all rows
+    assert all(abs(sum(r["pc"][i] for r in rows)) < 1e-3 * len(rows) for i in range(32))
