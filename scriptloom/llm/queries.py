@@ -35,6 +35,11 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Each scene put together again from its pieces, without their overlaps, and whether the pieces keep order, limit and overlap."""
+    return chunking.rebuild(_pieces(spark, d), ["scene_id"], limit=1200, overlap=120)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).where("piece_no = 1 and n_pieces > 1").select("scene_id")
 
@@ -135,7 +140,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_entities, p2_found, p2_pieces, p3_found, p3_sample, p3_report, p4_found, p4_terms, p6_found, p6_items, p7_found, p7_mix, p7_report, p8_found, p8_scores, p8_rates,
+        p1_found, p1_entities, p2_found, p2_pieces, p2_rebuilt, p3_found, p3_sample, p3_report, p4_found, p4_terms, p6_found, p6_items, p7_found, p7_mix, p7_report, p8_found, p8_scores, p8_rates,
     )
 }
 
@@ -171,7 +176,26 @@ report as (select genre_label, decade_label, coalesce(n, 0) as available, greate
 select *, greatest(0, wanted - available) as short_by, available < wanted as short from report
 """
 
+_SAMPLE = r"""
+with films as (select imdb_id, min(lower(regexp_replace(primary_genre_bucketed, '^\s+|\s+$', '', 'g'))) as genre, min(release_year_parsed) as y
+  from films_joined where imdb_id is not null and release_year_parsed between 1900 and 2025 group by imdb_id),
+cells as (select imdb_id, genre, case when y < 1980 then 'pre_1980s' when y < 1990 then '1980s' when y < 2000 then '1990s' when y < 2010 then '2000s' else '2010s_2020s' end as decade from films),
+plan as (select *, lower(trim(genre_label)) as genre, lower(trim(decade_label)) as decade from sample_targets),
+ranked as (select imdb_id, genre, decade, target_permille, min_films, sample_size, row_number() over (partition by genre, decade order by md5(imdb_id || ':42'), imdb_id) as rnk from cells join plan using (genre, decade)),
+seats as (select *, case when rnk <= min_films then 0e0 when target_permille > 0 then (rnk - 5e-1) / target_permille::double end as priority from ranked)
+select imdb_id, genre, decade, rnk, priority from (select *, row_number() over (order by priority, genre, decade, imdb_id) as place from seats where priority is not null) where priority = 0 or place <= sample_size
+"""
+
+#: What `p2_rebuilt` must give: the text of each scene, whatever the pieces are.
+_REBUILT = rf"""
+with once as ({_ONCE}),
+texts as (select scene_id, coalesce(array_to_string(list_transform(list_filter(dialogue_units, lambda x: x.text is not null and x.text <> ''), lambda x: x.text), chr(10)), '') as t from once)
+select scene_id, length(t) as n_chars, md5(t) as digest, true as in_order, true as within_limit, true as overlaps_kept, length(t) > 1200 as was_cut from texts
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p2_rebuilt": _REBUILT,
+    "p3_sample": _SAMPLE,
     "p3_report": _REPORT,
     "p2_found": rf"""
 with once as ({_ONCE})
