@@ -114,7 +114,8 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_report(spark, d).where("not reachable").select("source")
+    """The listed sources whose every document the fit leaves at its cap without reaching their share."""
+    return p7_report(spark, d).where("kind = 'listed' and not reachable").select("source")
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
