@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators.dedupe import keep_one
+from ..operators.dedupe import keep_one, keep_one_wide
 from ..session import table
 
 
@@ -20,7 +20,8 @@ def films(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 def scenes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Each scene once, as first delivered."""
     cols = ["scene_id", *columns]
-    return keep_one(table(spark, d, "scenes").where("scene_id is not null").select(*dict.fromkeys([*cols, "loaded_at"])), ["scene_id"], [F.col("loaded_at")], cols)
+    keep = keep_one_wide if "dialogue_units" in columns else keep_one
+    return keep(table(spark, d, "scenes").where("scene_id is not null").select(*dict.fromkeys([*cols, "loaded_at"])), ["scene_id"], [F.col("loaded_at")], cols)
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:

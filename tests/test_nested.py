@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import json
 
-from scriptloom.operators.nested import flat_tables, triples, unit_positions
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from scriptloom.operators.nested import flat_tables, loads, triples, unit_positions
 
 
 def rows(spark):
@@ -39,7 +42,7 @@ def test_triples_round_trip():
     payload = json.dumps({"a": 1, "scenes": [{"x": "y", "dialogue_units": [{"speaker": "S", "text": "T", "meta": {"page": 3}}]}]})
     got = [(p, v, s, u) for p, v, s, u in triples(payload)]
     assert ("$.a", "1", 0, 0) in got and ("$.scenes[].dialogue_units[].meta.page", "3", 1, 1) in got
-    assert list(triples("nope")) == []
+    assert triples("nope") is None and triples(None) is None and triples("[1,]") is None and triples("{} x") is None
 
 
 def test_empty(spark):
@@ -53,3 +56,41 @@ def test_odd_values(spark):
     assert [(r["speaker"], r["text"]) for r in t["units"].orderBy("record_id").collect()] == [("\ufffdx", "\U0001f600"), (None, "just text")]
     assert t["scenes"].where("record_id = 5").count() == 4
     assert t["records"].where("record_id = 2").count() == 1
+
+
+def test_depth_has_no_bound(spark):
+    deep = '{"scenes": [{"x": ' + "[" * 50_000 + '{"dialogue_units": ' + "[" * 50_000 + '["A", "b"]' + "]" * 50_000 + "}" + "]" * 50_000 + ', "dialogue_units": ["last"]}]}'
+    df = spark.createDataFrame([(1, deep, "2021-01-01"), (2, '{"scenes": [{"scenes": [{"dialogue_units": ["in"]}], "dialogue_units": [["out"], ["out"]]}]}', "2021-01-01")], "record_id long, payload string, loaded_at string")
+    assert sorted(tuple(r) for r in unit_positions(df).collect()) == [(1, 1, 1), (1, 1, 2), (2, 1, 1), (2, 1, 2), (2, 2, 1)]
+    assert loads("[" * 100_000 + "]" * 99_999) is None
+
+
+JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.sampled_from(["scenes", "dialogue_units", "speaker", "text", "k"]), x, max_size=3), max_leaves=12)
+
+
+def plain(value):
+    if isinstance(value, dict):
+        return {k: plain(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [plain(v) for v in value]
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+@settings(max_examples=300, deadline=None)
+@given(JSON, st.booleans(), st.integers(0, 60))
+def test_reads_what_json_reads(value, indent, cut):
+    text = json.dumps(value, indent=1 if indent else None)
+    assert loads(text) == (plain(value) if isinstance(value, dict | list) else None)
+    assert (triples(text) is None) == (not isinstance(value, dict | list))
+    part = text[:cut]
+    try:
+        ok = isinstance(json.loads(part), dict | list)
+    except ValueError:
+        ok = False
+    assert (triples(part) is not None) == ok == (loads(part) is not None)
+
+
+def test_own_field_of_a_unit_counts(spark):
+    payload = json.dumps({"scenes": [{"dialogue_units": [{"meta": {"text": "zz", "speaker": "Z"}, "text": "own"}]}]})
+    units = flat_tables(spark.createDataFrame([(1, payload, "2021-01-01")], "record_id long, payload string, loaded_at string"))["units"]
+    assert [(r["speaker"], r["text"]) for r in units.collect()] == [("Z", "own")]

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from scriptloom.operators import attribution, calibration, relational, reports, screenplay, sequence, stats
+from scriptloom.operators import attribution, calibration, dedupe, relational, reports, screenplay, sequence, stats
 from scriptloom.operators.ranking import running_sums
 
 
@@ -90,3 +90,13 @@ def test_scene_contributions(spark):
     got = {r["sc"]: r for r in screenplay.scene_contributions(spark.createDataFrame(rows, "f string, sc long, who string, t string"), "f", "sc", "who", "t").collect()}
     assert set(got) == {1, 2} and (got[1]["lines_without"], got[1]["chars_without"], got[1]["speakers_without"]) == (2, 2, 1)
     assert got[2]["speakers_without"] == 2
+
+
+def test_keep_one_wide(spark):
+    rows = [(i % 3 if i < 300 else i, "b" if i == 5 else "a", i) for i in range(900)] + [(None, "n", 1), (None, "m", 0)]
+    df = spark.createDataFrame(rows, "k long, v string, at long").withColumns({"n": F.lit("x"), "__n": F.lit(1)})
+    for most in (1000, 0):
+        got = {(r["k"], r["v"], r["at"]) for r in dedupe.keep_one_wide(df, ["k"], [F.col("at")], ["k", "v", "at"], most).collect()}
+        assert got == {(r["k"], r["v"], r["at"]) for r in dedupe.keep_one(df, ["k"], [F.col("at")], ["k", "v", "at"]).collect()}
+        assert len(got) == 604 and (None, "m", 0) in got
+    assert dedupe.keep_one_wide(df.where("false"), ["k"], [F.col("at")], ["k", "v"]).count() == 0
