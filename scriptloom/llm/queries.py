@@ -80,7 +80,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "scenes").select("scene_id", "loaded_at", F.transform("dialogue_units", lambda u: u["text"]).alias("texts"))
-    return terms.term_frequencies(scenes.once(rows, "texts"), "scene_id", "texts")
+    return terms.term_frequencies(scenes.once(rows, "texts"), "texts")
 
 
 def p4_terms(spark: SparkSession, d: str) -> DataFrame:

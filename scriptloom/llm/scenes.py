@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dedupe import keep_one
+from ..operators.dedupe import keep_one_wide
 
 
 def dialogue_text(units: str = "dialogue_units") -> Column:
@@ -21,5 +21,5 @@ def speech_lengths(units: str = "dialogue_units") -> Column:
 
 
 def once(scenes: DataFrame, *columns: str) -> DataFrame:
-    """Each scene_id once, as first delivered. Partial aggregates absorb redeliveries before the shuffle."""
-    return keep_one(scenes, ["scene_id"], [F.col("loaded_at")], ["scene_id", *columns])
+    """Each scene_id once, as first delivered. Only scenes delivered more than once are shuffled with their texts."""
+    return keep_one_wide(scenes, ["scene_id"], [F.col("loaded_at")], ["scene_id", *columns])

@@ -13,10 +13,10 @@ from scriptloom.llm.terms import term_frequencies
 def test_terms(spark):
     rows = [(1, ["Don’t stop -now", "don't", None]), (2, ["l'été 3x well-known--", "'tis"]), (3, []), (4, None), (5, ["don't"]), (6, ["DON'T ever"])]
     df = spark.createDataFrame(rows, "k long, t array<string>")
-    got = {r["term"]: tuple(r)[1:] for r in term_frequencies(df, "k", "t", rare_below=2, common_above=0.5).collect()}
+    got = {r["term"]: tuple(r)[1:] for r in term_frequencies(df, "t", rare_below=2, common_above=0.5).collect()}
     assert got["don't"] == (4, 3, "common") and got["now"] == (1, 1, "rare") and got["l'été"] == (1, 1, "rare")
     assert got["x"] == (1, 1, "rare") and "well-known--" in got and "tis" in got
-    assert term_frequencies(df.where("k > 99"), "k", "t").count() == 0
+    assert term_frequencies(df.where("k > 99"), "t").count() == 0
 
 
 def test_random_rank_is_a_permutation(spark):
