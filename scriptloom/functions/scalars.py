@@ -91,10 +91,9 @@ def signed(c: Column, digits: int = 3) -> Column:
 
 def amount(name: Column) -> Column:
     """25K and 1M as numbers; null for other text."""
-    n = F.expr("1.0")
     number = F.regexp_extract(name, r"([0-9]+(?:\.[0-9]+)?)([KM])$", 1)
     unit = F.regexp_extract(name, r"([0-9]+(?:\.[0-9]+)?)([KM])$", 2)
-    return F.when(number != "", number.cast("double") * F.when(unit == "K", 1e3).when(unit == "M", 1e6).otherwise(n))
+    return F.when(number != "", number.cast("double") * F.when(unit == "K", 1e3).when(unit == "M", 1e6).otherwise(F.lit(1.0)))
 
 
 def one_hot(c: Column, vocabulary: Sequence[str], prefix: str) -> list[Column]:
@@ -103,9 +102,20 @@ def one_hot(c: Column, vocabulary: Sequence[str], prefix: str) -> list[Column]:
 
 
 def readable_feature(name: Column) -> Column:
-    """A feature name for reports: prefixes spelled out, underscores as blanks."""
-    named = F.when(name.startswith("genre_"), F.concat(F.lit("genre: "), F.substring(name, 7, 100))).when(name.startswith("log_"), F.concat(F.substring(name, 5, 100), F.lit(" (log)"))).when(name.startswith("emb_"), F.concat(F.lit("embedding "), F.substring(name, 5, 100))).otherwise(name)
-    return F.regexp_replace(named, "_", " ")
+    """A feature name for reports: a genre as Genre=X, topics and embedding components by number, logarithms as log(x)."""
+    rest = lambda n: F.substring(name, F.lit(n), F.length(name))
+    return (
+        F.when(name.startswith("genre_"), F.concat(F.lit("Genre="), rest(7)))
+        .when(name.rlike(r"^topic_\d+_proportion$"), F.concat(F.lit("Topic "), F.regexp_extract(name, r"^topic_(\d+)_", 1), F.lit(" proportion")))
+        .when(name.startswith("embed_pc_"), F.concat(F.lit("Embedding PC "), rest(10)))
+        .when(name.startswith("log_"), F.concat(F.lit("log("), rest(5), F.lit(")")))
+        .otherwise(F.translate(name, "_", " "))
+    )
+
+
+def quality_flag(n_scenes: Column, dialogue_chars: Column, few_scenes: int = 20, many_chars: int = 10_000) -> Column:
+    """Whether a script lost its scene boundaries: hardly any scenes, but the speech of a whole film. Null counts as no."""
+    return F.coalesce((n_scenes < few_scenes) & (dialogue_chars > many_chars), F.lit(False))
 
 
 def attribution_pairs(text: Column) -> Column:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[A-Za-z][A-Za-z'\-]*"
 
-# First and second person words, short lexicons of emotions, stop words.
-FIRST_PERSON = ("i", "me", "my", "mine", "myself", "we", "us", "our", "ours", "ourselves")
-SECOND_PERSON = ("you", "your", "yours", "yourself", "yourselves", "thee", "thou", "thy", "thine")
+# First and second person words.
+FIRST_PERSON = ("i", "me", "my", "mine", "myself")
+SECOND_PERSON = ("you", "your", "yours", "yourself", "yourselves", "thou", "thee", "thy", "thine", "thyself")
+
+# Defaults of parameters: stop words, and small lexicons of emotions and valence that stand in where no file is given (`read_lexicon`).
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "he", "in", "is", "it", "its", "of", "on", "or", "she", "that", "the", "they", "this", "to", "was", "with", "you")
 EMOTIONS = {
     "anger": ("angry", "fight", "hate", "kill", "rage"),
@@ -45,7 +47,7 @@ def ensure_terminal_punctuation(text: Column) -> Column:
 
 def syllables(word: Column) -> Column:
     """Groups of vowels, without a silent final e (but counting the one of -le); at least one."""
-    stem = F.when(word.rlike("[^l]e$"), F.expr("1")).otherwise(F.lit(0))
+    stem = F.when(word.rlike("[^l]e$"), F.lit(1)).otherwise(F.lit(0))
     return F.greatest(F.lit(1), F.regexp_count(word, F.lit("[aeiouy]+")) - F.when((stem == 1) & word.rlike("[^aeiouy]e$"), 1).otherwise(0))
 
 
@@ -72,12 +74,42 @@ def speaker_name(raw: Column) -> Column:
 
 
 # What no character is called.
-NOT_A_NAME = r"(?i)\(c\)|\(r\)|©|®|™|^\d{4}|\b(productions|pictures|studios|entertainment|copyright)\b"
+NOT_A_NAME = (
+    r"[©®™]",
+    r"^\d{4}\b",
+    r"(?i)\bSTUDIOS\b",
+    r"(?i)\bPICTURES\s+INC\b",
+    r"(?i)\bPRODUCTIONS\s+LLC\b",
+)
 
 
 def plausible_name(name: Column) -> Column:
-    """Whether a speaker line may name a character: no copyright marks, years or studios."""
-    return name.isNotNull() & (name != "") & ~name.rlike(NOT_A_NAME)
+    """Whether a speaker line may name a character: not empty, no copyright marks, years or studios."""
+    out = name.isNotNull() & (name != "")
+    for pattern in NOT_A_NAME:
+        out = out & ~name.rlike(pattern)
+    return out
+
+
+def action_text(direction: Column, description: Column) -> Column:
+    """Heading and description of a scene, trimmed and joined by a blank; '' where there is neither."""
+    part = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    return F.concat_ws(" ", part(direction), part(description))
+
+
+def scene_heading(direction: Column, description: Column, units: Column, longest: int = 80) -> Column:
+    """One line that names a scene: its heading, else its description, else the first speech with its speaker; '' without any."""
+    named = F.when(direction != "", direction).when(description != "", description).otherwise(F.lit(""))
+    named = F.trim(F.translate(named, "\n", " "))
+    first = F.get(units, F.lit(0))
+    spoken = F.concat(F.coalesce(first["speaker"], F.lit("")), F.lit(": "), F.substring(F.coalesce(first["text"], F.lit("")), 1, 60))
+    return F.substring(F.when(named != "", named).when(F.size(units) > 0, spoken).otherwise(F.lit("")), 1, longest)
+
+
+def chunk(text: Column, n: int, tail: bool = False) -> Column:
+    """The first (or last) `n` characters on one line, with line breaks shown as ⏎; '' for null."""
+    part = F.when(F.length(text) > n, F.substring(text, -n, n)).otherwise(text) if tail else F.substring(text, 1, n)
+    return F.trim(F.replace(F.coalesce(part, F.lit("")), F.lit("\n"), F.lit(" ⏎ ")))
 
 
 def lookup(word: Column, table: dict[str, float]) -> Column:

@@ -66,3 +66,37 @@ def interval_coverage(df: DataFrame, y: str, p: str, levels: list[float]) -> Dat
     rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumn("__e", F.abs(F.col(y) - F.col(p)))
     q = order_statistic(rows, "__e", levels)
     return rows.join(F.broadcast(q)).groupBy("level").agg(F.count("*").alias("n"), F.max("q").alias("q"), F.avg((F.col("__e") <= F.col("q")).cast("double")).alias("coverage"), F.max(2 * F.col("q")).alias("width"))
+
+
+def adaptive_quantiles(df: DataFrame, p: str, label: str, levels: list[float]) -> DataFrame:
+    """(level, q): the conformal quantile of the probability mass down to the true class, classes taken from the likelier on."""
+    high = F.greatest(F.col(p), 1 - F.col(p))
+    s = F.when((F.col(p) >= 0.5) == (F.col(label).cast("int") == 1), high).otherwise(1.0)
+    return order_statistic(df.where(F.col(label).isNotNull() & F.col(p).isNotNull()).withColumn("__s", s), "__s", levels)
+
+
+def adaptive_sets(df: DataFrame, quantiles: DataFrame, p: str) -> DataFrame:
+    """`df` for each level with in_0, in_1 and set_size: the likelier class always, the other one where the first is not mass enough.
+
+    At one half class 1 is the likelier.
+    """
+    top = F.col(p) >= 0.5
+    both = F.greatest(F.col(p), 1 - F.col(p)) < F.col("q")
+    return df.join(F.broadcast(quantiles)).withColumn("in_0", ~top | both).withColumn("in_1", top | both).withColumn("set_size", F.col("in_0").cast("int") + F.col("in_1").cast("int"))
+
+
+def relative_coverage(df: DataFrame, y: str, p: str, levels: list[float]) -> DataFrame:
+    """(level, n, q, coverage, width) of p +/- q p, q the conformal quantile of |y - p| / p; rows with a p of 0 or less don't count.
+
+    `width` is the mean over the rows, as intervals differ.
+    """
+    rows = df.where(F.col(y).isNotNull() & (F.col(p) > 0)).withColumn("__e", F.abs(F.col(y) - F.col(p)) / F.col(p))
+    q = order_statistic(rows, "__e", levels)
+    return rows.join(F.broadcast(q)).groupBy("level").agg(F.count("*").alias("n"), F.max("q").alias("q"), F.avg((F.col("__e") <= F.col("q")).cast("double")).alias("coverage"), F.avg(2 * F.col("q") * F.col(p)).alias("width"))
+
+
+def closest_coverage(coverages: DataFrame, score: str = "score", level: float = 0.9) -> DataFrame:
+    """The row (score, coverage) whose coverage at `level` lies closest to it; ties by name."""
+    gap = F.round(F.abs(F.col("coverage") - F.lit(level)), 12)
+    rows = coverages.where(F.abs(F.col("level") - level) < 1e-9)
+    return rows.agg(F.min_by(F.struct(score, "coverage"), F.struct(gap, score)).alias("r")).select("r.*").where(F.col(score).isNotNull())

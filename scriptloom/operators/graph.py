@@ -48,10 +48,16 @@ def density(nodes: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
 
 def clustering(nodes: DataFrame, pairs: DataFrame, group: str, member: str) -> DataFrame:
     """(group, clustering): mean local coefficient without weights, 0 for nodes of degree below 2; null under three nodes."""
-    both = pairs.select(group, F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(group, F.col("b"), F.col("a")))
-    degree = both.groupBy(group, "u").agg(F.count("*").alias("d"))
-    wedges = pairs.select(group, F.col("a").alias("x"), F.col("b").alias("y")).join(both.select(group, F.col("u").alias("x"), F.col("v").alias("c")), [group, "x"]).join(both.select(group, F.col("u").alias("y"), F.col("v").alias("c")), [group, "y", "c"])
-    closed = wedges.groupBy(group, F.col("c").alias("u")).agg(F.count("*").alias("t"))
+    ends = pairs.select(group, F.col("a").alias("u")).union(pairs.select(group, F.col("b")))
+    degree = ends.groupBy(group, "u").agg(F.count("*").alias("d"))
+    # every edge points to its end of higher degree, so no node has more than sqrt(2 m) edges going out, a hub least of all
+    d = lambda n: degree.select(group, F.col("u").alias(n), F.col("d").alias("d" + n))
+    up = pairs.select(group, "a", "b").join(d("a"), [group, "a"]).join(d("b"), [group, "b"])
+    rises = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    out = up.select(group, F.when(rises, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(rises, F.col("b")).otherwise(F.col("a")).alias("y"))
+    wedges = out.join(out.select(group, "x", F.col("y").alias("z")), [group, "x"]).where("y < z")
+    triangles = wedges.join(pairs.select(group, F.col("a").alias("y"), F.col("b").alias("z")), [group, "y", "z"])
+    closed = triangles.select(group, F.explode(F.array("x", "y", "z")).alias("u")).groupBy(group, "u").agg(F.count("*").alias("t"))
     local = nodes.select(group, F.col(member).alias("u")).join(degree, [group, "u"], "left").join(closed, [group, "u"], "left")
     c = F.coalesce(F.try_divide(2.0 * F.coalesce("t", F.lit(0)), F.col("d") * (F.col("d") - 1)), F.lit(0.0))
     return local.groupBy(group).agg(F.when(F.count("*") >= 3, F.avg(c)).alias("clustering"))
@@ -155,13 +161,10 @@ def eigen_centrality(g: dict, who: str, rounds: int = 1000, tol: float = 1e-6) -
     if len(own) == 1:
         return 1.0
     at = {u: i for i, u in enumerate(own)}
-    a = np.zeros((len(own), len(own)))
-    for u in own:
-        for v in g[u]:
-            a[at[u], at[v]] = 1.0
+    ends = np.array([(at[u], at[v]) for u in own for v in g[u]], dtype=np.int64)
     x = np.full(len(own), len(own) ** -0.5)
     for _ in range(rounds):
-        y = x + a @ x
+        y = x + np.bincount(ends[:, 0], weights=x[ends[:, 1]], minlength=len(own))
         y /= np.linalg.norm(y)
         if np.abs(y - x).sum() < len(own) * tol:
             x = y

@@ -5,11 +5,14 @@ Undefined values (a single class, nothing retrieved, an empty group) are null.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranking import quantiles, row_numbers, running_sums
@@ -86,11 +89,15 @@ def calibration_error(curve: DataFrame) -> DataFrame:
 
 
 def top_k(df: DataFrame, y: str, p: str, key: str, ks: list[int]) -> DataFrame:
-    """(k, precision, recall, lift) of the k best scores; ties by key. k = 0 has no precision."""
-    ranked = row_numbers(df, p, key, descending=True).select(F.col(y).cast("int").alias("__y"), "rn")
-    base = ranked.agg(F.sum("__y").alias("__pos"), F.avg("__y").alias("__base"))
+    """(k, precision, recall, lift) of the k best scores; ties by key. k = 0 has no precision.
+
+    The best rows are found by a top-k of every task, of which the largest k are merged.
+    """
+    rows = df.where(F.col(p).isNotNull()).select(F.col(y).cast("int").alias("__y"), F.col(p).alias("__p"), F.col(key).alias("__k"))
+    base = rows.agg(F.sum("__y").alias("__pos"), F.avg("__y").alias("__base"))
     sizes = df.sparkSession.createDataFrame([(k,) for k in ks], "k int")
-    top = ranked.where(F.col("rn") <= max(ks, default=0))
+    best = rows.orderBy(F.desc("__p"), "__k").limit(max([*ks, 1]))
+    top = best.select("__y", F.row_number().over(W.orderBy(F.desc("__p"), "__k")).alias("rn"))
     hits = F.broadcast(sizes).join(top, F.col("rn") <= F.col("k"), "left").groupBy("k").agg(F.avg("__y").alias("precision"), F.sum("__y").alias("__hits"))
     return hits.join(F.broadcast(base)).select("k", "precision", (F.coalesce("__hits", F.lit(0)) / F.greatest("__pos", F.lit(1))).alias("recall"), (F.col("precision") / F.greatest("__base", F.lit(1e-9))).alias("lift"))
 
@@ -114,28 +121,80 @@ def order_statistic(df: DataFrame, value: str, levels: list[float], group: list[
     return r.join(F.broadcast(wanted), (F.col("before_n") < k) & (k <= F.col("before_n") + F.col("n"))).select(*group, "level", F.col(value).alias("q"))
 
 
-def bootstrap_interval(df: DataFrame, y: str, p: str, metric: Callable[[np.ndarray, np.ndarray, np.ndarray], float], n_boot: int = 200, blocks: int = 16, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """(point, low, high) of a metric that is a ratio of sums: Poisson resampling.
+#: Sums of each metric that the bootstrap knows, by (label, score), and how they make the metric.
+_SUMS: dict[str, tuple[Callable[[np.ndarray, np.ndarray], list[np.ndarray]], Callable[..., np.ndarray]]] = {
+    "rmse": (lambda y, p: [(p - y) ** 2, np.ones(len(y))], lambda e, n: np.sqrt(e / n)),
+    "mae": (lambda y, p: [np.abs(p - y), np.ones(len(y))], lambda e, n: e / n),
+    "brier": (lambda y, p: [(p - y) ** 2, np.ones(len(y))], lambda e, n: e / n),
+    "log_loss": (lambda y, p: [-np.log(np.where(y > 0.5, np.clip(p, EPS, 1 - EPS), 1 - np.clip(p, EPS, 1 - EPS))), np.ones(len(y))], lambda e, n: e / n),
+    "f1": (lambda y, p: [(y > 0.5) * (p >= 0.5), (p >= 0.5) * 1.0, (y > 0.5) * 1.0, np.ones(len(y))], lambda tp, found, pos, n: np.where(n > 0, 2 * tp / np.maximum(found + pos, 1e-300), np.nan)),
+}
 
-    Each row draws how often it stands in each resample, by a generator seeded with its block, so nothing is collected: every
-    task returns the `metric` sums of each resample (an array (n_boot, m) from (y, p, counts)), which are added up. The metric
-    is the square root of the first sum over the second.
-    """
-    rows = df.select(F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p")).where("y is not null and p is not null")
-    rows = rows.withColumn("__block", F.pmod(F.xxhash64("y", "p"), F.lit(blocks)).cast("int"))
 
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "p"])
-        rng = np.random.default_rng(seed + int(pdf["__block"].iloc[0]))
-        counts = np.vstack([np.ones(len(pdf)), rng.poisson(1.0, (n_boot, len(pdf)))])
-        s = metric(pdf["y"].to_numpy(), pdf["p"].to_numpy(), counts)
-        return pd.DataFrame({"b": np.arange(n_boot + 1), "s0": s[:, 0], "s1": s[:, 1]})
+def poisson_counts(keys: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
+    """(rows, n_boot) of Poisson(1) counts, each a function of its row's key, the resample and the seed alone."""
+    with np.errstate(over="ignore"):
+        x = (keys[:, None] ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) + np.arange(1, n_boot + 1, dtype=np.uint64)[None] * np.uint64(0xD1342543DE82EF95)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        u = ((x ^ (x >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    steps = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)]))
+    return np.searchsorted(steps, u.ravel(), "right").reshape(u.shape).astype(np.float64)
 
-    per = rows.groupBy("__block").applyInPandas(sums, "b int, s0 double, s1 double").groupBy("b").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
-    value = per.select("b", F.sqrt(F.try_divide("s0", "s1")).alias("v"))
-    return value.agg(F.max(F.when(F.col("b") == 0, F.col("v"))).alias("point"), F.percentile(F.when(F.col("b") > 0, F.col("v")), alpha / 2).alias("low"), F.percentile(F.when(F.col("b") > 0, F.col("v")), 1 - alpha / 2).alias("high"))
 
+def bootstrap_intervals(df: DataFrame, y: str, p: str, key: str, metrics: list[str], n_boot: int = 1000, seed: int = 42, alpha: float = 0.05, auc_bins: int = 1000) -> DataFrame:
+    """(metric, point, low, high) of rmse, mae, brier, log_loss, f1 and auc by Poisson resampling: each row stands in each resample
+    as often as a count drawn from its key says.
 
-def squared_error_sums(y: np.ndarray, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums for the bootstrap of a root mean squared error."""
-    return np.stack([counts @ (p - y) ** 2, counts.sum(axis=1)], axis=1)
+    Rows meet nothing but their own batch: each task adds up the sums of every resample, a table of n_boot rows whose size does
+    not depend on the data, and these are added up. The AUC is that of scores cut at `auc_bins` approximate quantiles, ties
+    and rows of one bin counting half; it is exact where there are no more different scores than bins. Resamples without a
+    metric (no rows, one class) don't count; a metric without any has no row. Rows with a null label or score don't count.
+    """
+    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p"), F.xxhash64(F.col(key)).alias("h"))
+    plain = [m for m in metrics if m != "auc"]
+    width = {m: len(_SUMS[m][0](np.zeros(1), np.zeros(1))) for m in plain}
+    cuts = np.zeros(0)
+    if "auc" in metrics:
+        distinct = rows.select("p").distinct().orderBy("p").limit(auc_bins + 1).collect()
+        probes = [r["p"] for r in distinct] if len(distinct) <= auc_bins else rows.agg(F.percentile_approx("p", [i / auc_bins for i in range(1, auc_bins)], F.lit(20 * auc_bins))).first()[0]
+        cuts = np.unique(np.array(probes or [], dtype=np.float64))
+    n_bins = len(cuts) + 1 if "auc" in metrics else 0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n_boot + 1, sum(width.values()) + 2 * n_bins))
+        for pdf in batches:
+            for a in range(0, len(pdf), 2000):
+                yy, pp, h = (pdf[c].to_numpy()[a : a + 2000] for c in ("y", "p", "h"))
+                weight = np.hstack([np.ones((len(yy), 1)), poisson_counts(h.astype(np.int64).view(np.uint64), n_boot, seed)])
+                parts = [np.asarray(x, dtype=np.float64) for m in plain for x in _SUMS[m][0](yy, pp)]
+                if parts:
+                    total[:, : len(parts)] += weight.T @ np.stack(parts, axis=1)
+                if n_bins:
+                    at = np.searchsorted(cuts, pp, "right")
+                    for k, own in enumerate((yy > 0.5, yy <= 0.5)):
+                        order = np.argsort(at[own], kind="stable")
+                        bins, first = np.unique(at[own][order], return_index=True)
+                        if len(bins):
+                            total[:, len(parts) + k * n_bins + bins] += np.add.reduceat(weight[own][order], first, axis=0).T
+        yield pd.DataFrame({"b": np.arange(n_boot + 1), "s": list(total)})
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out, s, at = [], np.stack(pdf["s"].to_numpy()) if len(pdf) else np.zeros((0, sum(width.values()) + 2 * n_bins)), 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                for m in plain:
+                    out.append(pd.DataFrame({"b": pdf["b"], "metric": m, "v": _SUMS[m][1](*s[:, at : at + width[m]].T)}))
+                    at += width[m]
+                if n_bins:
+                    pos, neg = s[:, at : at + n_bins], s[:, at + n_bins :]
+                    below = np.cumsum(neg, axis=1) - neg
+                    out.append(pd.DataFrame({"b": pdf["b"], "metric": "auc", "v": (pos * (below + neg / 2)).sum(axis=1) / (pos.sum(axis=1) * neg.sum(axis=1))}))
+            yield pd.concat(out) if out else pd.DataFrame({"b": [], "metric": [], "v": []})
+
+    # a row of sums for each resample and task, added up as vectors
+    parts = rows.mapInPandas(run, "b int, s array<double>").select("b", array_to_vector("s").alias("s"))
+    sums = parts.groupBy("b").agg(vector_to_array(Summarizer.sum(F.col("s"))).alias("s"))
+    values = sums.mapInPandas(fold, "b int, metric string, v double").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    drawn = F.when(F.col("b") > 0, F.col("v"))
+    return values.groupBy("metric").agg(F.max(F.when(F.col("b") == 0, F.col("v"))).alias("point"), F.percentile(drawn, alpha / 2).alias("low"), F.percentile(drawn, 1 - alpha / 2).alias("high"))

@@ -44,17 +44,21 @@ def average_ranks(df: DataFrame, value: str, group: Sequence[str] | None = None)
     return r.select(*(group or []), value, (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def row_numbers(df: DataFrame, value: str, key: str, group: Sequence[str] | None = None, descending: bool = False) -> DataFrame:
+def row_numbers(df: DataFrame, value: str, key: str, group: Sequence[str] | None = None, descending: bool = False, tie_rows: int = 100_000) -> DataFrame:
     """`df` with `rn` from 1 and `n_rows` of the group, in the order of (value, key). Rows with a null value are left out.
 
-    Ties are ranked by the key in windows of one value each; a value that a third of all rows share would be one window, so
-    give such columns a finer value.
+    Ties are ranked by the key: in one window where at most `tie_rows` rows share a value, else in ranges of the key as values
+    are. Rows that share the key, too, are ranked in any order.
     """
     r = running_sums(df, value, {"__n": F.count("*")}, group)
     before = F.col("all___n") - F.col("before___n") - F.col("__n") if descending else F.col("before___n")
-    r = r.select(_group(group).alias("__g"), value, before.alias("__before"), F.col("all___n").alias("n_rows"))
+    r = r.select(_group(group).alias("__g"), value, before.alias("__before"), F.col("all___n").alias("n_rows"), F.col("__n").alias("__tied"))
     joined = df.withColumn("__g", _group(group)).join(r, ["__g", value])
-    numbered = joined.withColumn("rn", F.col("__before") + F.row_number().over(W.partitionBy("__g", value).orderBy(key)))
+    few = joined.where(F.col("__tied") <= tie_rows).withColumn("__r", F.row_number().over(W.partitionBy("__g", value).orderBy(key)))
+    large = joined.where(F.col("__tied") > tie_rows)
+    places = running_sums(large.select("__g", value, key), key, {"__k": F.count("*")}, ["__g", value]).select("__g", value, key, F.col("before___k").alias("__r0"))
+    within = large.join(places, ["__g", value, key]).withColumn("__r", F.col("__r0") + F.row_number().over(W.partitionBy("__g", value, key).orderBy(F.lit(0)))).drop("__r0")
+    numbered = few.unionByName(within).withColumn("rn", F.col("__before") + F.col("__r"))
     return numbered.select(*df.columns, "n_rows", "rn")
 
 

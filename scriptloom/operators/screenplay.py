@@ -4,10 +4,14 @@ A script is one XML text with <scene> elements holding <stage_direction>, <scene
 <parenthetical> and <dialogue>. Each script is read once, in Arrow batches; a malformed, empty or null one gives a warning and
 no lines, never an error.
 
+The same content comes as nested records, too: scenes with a heading and elements of a type (action, character, dialogue,
+parenthetical). Both are brought to the same events and read by one state machine.
+
 Who speaks: a dialogue belongs to the last plausible character since the last break, a break being a stage direction, a
-description or an implausible character. Parentheticals and unknown tags are transparent. Without a speaker the line has ''
-for one. A plausible character that is followed by no dialogue before the next break or character leaves a line with an empty
-text, which counts as a line but names no speaker.
+description, an action or an implausible character. Parentheticals and unknown elements are transparent. Without a speaker the
+line has '' for one. A plausible character that is followed by no dialogue before the next break or character leaves a line
+with an empty text, which counts as a line but names no speaker. There is a warning for each line without a speaker, each
+implausible character, each character without dialogue, and each kind of unknown element in a scene.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NOT_A_NAME
 
-_REJECT = re.compile(NOT_A_NAME)
+_REJECT = [re.compile(x) for x in NOT_A_NAME]
 LINES = "kind string, scene_no int, line_no int, speaker string, text string, stage_direction string, scene_description string, warning string"
 
 
@@ -31,58 +35,89 @@ def _name(raw: str) -> str:
     return bare or raw.strip()
 
 
-def read_script(xml: str | None) -> Iterator[tuple]:
-    """Rows of LINES: one 'scene' row per scene, its 'line' rows, and 'warning' rows."""
+def attribute(events: Iterator[tuple[str, str]]) -> tuple[list[str], list[str], list[tuple[str, str]], list[str]]:
+    """(headings, descriptions, lines with speakers, warnings) of the events of one scene: (kind, text) with the kinds heading,
+    description, character, dialogue, aside; any other is unknown."""
+    headings, described, lines, warnings, unknown = [], [], [], [], set()
+    speaker, pending = "", False
+
+    def flush() -> None:
+        nonlocal pending
+        if pending:
+            lines.append((speaker, ""))
+            warnings.append(f"character without dialogue: {speaker}")
+        pending = False
+
+    for kind, text in events:
+        if kind in ("heading", "description"):
+            flush()
+            speaker = ""
+            (headings if kind == "heading" else described).append(text)
+        elif kind == "character":
+            flush()
+            name = _name(text)
+            ok = bool(name) and not any(r.search(name) for r in _REJECT)
+            speaker, pending = (name, True) if ok else ("", False)
+            if not ok:
+                warnings.append(f"implausible character: {text}")
+        elif kind == "dialogue":
+            pending = False
+            lines.append((speaker, text))
+            if not speaker:
+                warnings.append("dialogue without a speaker")
+        elif kind != "aside" and kind not in unknown:
+            unknown.add(kind)
+            warnings.append(f"unknown element: {kind}")
+    flush()
+    return headings, described, lines, warnings
+
+
+def _scene_rows(no: int, events: Iterator[tuple[str, str]]) -> Iterator[tuple]:
+    headings, described, lines, warnings = attribute(events)
+    yield ("scene", no, None, None, None, " ".join(h for h in headings if h), " ".join(d for d in described if d), None)
+    for k, (who, text) in enumerate(lines, 1):
+        yield ("line", no, k, who, text, None, None, None)
+    for w in warnings:
+        yield _warning(w, no)
 
-    def warn(text: str, scene: int | None = None) -> tuple:
-        return ("warning", scene, None, None, None, None, None, text)
 
+def _warning(text: str, scene: int | None = None) -> tuple:
+    return ("warning", scene, None, None, None, None, None, text)
+
+
+_TAGS = {"stage_direction": "heading", "scene_description": "description", "character": "character", "dialogue": "dialogue", "parenthetical": "aside"}
+_TYPES = {"action": "description", "character": "character", "dialogue": "dialogue", "parenthetical": "aside"}
+
+
+def read_script(xml: str | None) -> Iterator[tuple]:
+    """Rows of LINES: one 'scene' row per scene, its 'line' rows, and 'warning' rows."""
     if xml is None or not xml.strip():
-        yield warn("empty script")
+        yield _warning("empty script")
         return
     try:
         root = ET.fromstring(xml)
     except ET.ParseError:
-        yield warn("malformed script")
+        yield _warning("malformed script")
         return
     if root.tag != "script":
-        yield warn(f"unexpected root {root.tag}")
+        yield _warning(f"unexpected root {root.tag}")
     found = list(root.iter("scene"))
     if not found:
-        yield warn("no scenes")
+        yield _warning("no scenes")
     for no, scene in enumerate(found, 1):
-        stage, described, lines, unknown = [], [], [], set()
-        speaker, pending = "", False
+        yield from _scene_rows(no, ((_TAGS.get(e.tag, e.tag), "".join(e.itertext()).strip()) for e in scene))
 
-        def flush() -> None:
-            nonlocal pending
-            if pending:
-                lines.append((speaker, ""))
-            pending = False
 
-        for e in scene:
-            text = "".join(e.itertext()).strip()
-            if e.tag in ("stage_direction", "scene_description"):
-                flush()
-                speaker = ""
-                (stage if e.tag == "stage_direction" else described).append(text)
-            elif e.tag == "character":
-                flush()
-                name = _name(text)
-                ok = bool(name) and not _REJECT.search(name)
-                speaker, pending = (name, True) if ok else ("", False)
-            elif e.tag == "dialogue":
-                pending = False
-                lines.append((speaker, text))
-                if not speaker:
-                    yield warn("dialogue without a speaker", no)
-            elif e.tag != "parenthetical" and e.tag not in unknown:
-                unknown.add(e.tag)
-                yield warn(f"unknown tag {e.tag}", no)
-        flush()
-        yield ("scene", no, None, None, None, " ".join(stage), " ".join(described), None)
-        for k, (who, text) in enumerate(lines, 1):
-            yield ("line", no, k, who, text, None, None, None)
+def read_record(scenes: list | None) -> Iterator[tuple]:
+    """Rows of LINES of the scenes of a nested record: mappings with `heading` and `elements` (type, text, name)."""
+    if scenes is None or not len(scenes):
+        yield _warning("no scenes")
+        return
+    clean = lambda x: (x or "").strip()
+    for no, scene in enumerate(scenes, 1):
+        elements = (scene or {}).get("elements")
+        kinds = [(_TYPES.get(e["type"], str(e["type"])), clean(e["name"] if e["type"] == "character" else e["text"])) for e in (elements if elements is not None else []) if e is not None]
+        yield from _scene_rows(no, iter([("heading", clean((scene or {}).get("heading"))), *kinds]))
 
 
 def parse_scripts(df: DataFrame, key: str, xml: str) -> DataFrame:
@@ -98,6 +133,18 @@ def parse_scripts(df: DataFrame, key: str, xml: str) -> DataFrame:
     return df.select(key, xml).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {LINES}")
 
 
+def parse_records(df: DataFrame, key: str, scenes: str) -> DataFrame:
+    """(key, rows of LINES) of nested records with an array of scenes (heading, elements of type, text and name)."""
+    names = [c.split()[0] for c in LINES.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, *r) for k, x in zip(pdf[key], pdf[scenes]) for r in read_record(x)]
+            yield pd.DataFrame(rows, columns=[key, *names]).astype({"scene_no": "Int32", "line_no": "Int32"})
+
+    return df.select(key, scenes).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {LINES}")
+
+
 def structure(parsed: DataFrame, key: str) -> DataFrame:
     """(key, n_scenes, n_lines, n_speakers, dialogue_chars, description_chars, lines_per_scene, chars_per_line, n_warnings) of parsed scripts."""
     line, scene = F.col("kind") == "line", F.col("kind") == "scene"

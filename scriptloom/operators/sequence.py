@@ -71,7 +71,7 @@ def arc_similarity(grid: DataFrame, group: str, length: int = 20) -> DataFrame:
     return shaped.groupBy(group).agg(*[F.when(F.stddev_pop("value") > 1e-12, correlation("value", n)).alias(n) for n in ARCS])
 
 
-def _mtld_pass(tokens: list[str], threshold: float) -> float:
+def _mtld_pass(tokens: list[str], threshold: float) -> float | None:
     factors, seen, n = 0.0, set(), 0
     for t in tokens:
         n += 1
@@ -80,14 +80,15 @@ def _mtld_pass(tokens: list[str], threshold: float) -> float:
             factors, seen, n = factors + 1, set(), 0
     if n:
         factors += (1 - len(seen) / n) / (1 - threshold)
-    return len(tokens) / factors if factors else float(len(tokens))
+    return len(tokens) / factors if factors else None
 
 
 def mtld(tokens: list[str], threshold: float = 0.72, least: int = 50) -> float | None:
-    """Mean of a forward and a backward pass; None under `least` tokens."""
+    """Mean of a forward and a backward pass; None under `least` tokens, and where no word recurs."""
     if len(tokens) < least:
         return None
-    return (_mtld_pass(tokens, threshold) + _mtld_pass(tokens[::-1], threshold)) / 2
+    there, back = _mtld_pass(tokens, threshold), _mtld_pass(tokens[::-1], threshold)
+    return None if there is None or back is None else (there + back) / 2
 
 
 def with_mtld(df: DataFrame, key: str, tokens: str) -> DataFrame:
@@ -98,3 +99,55 @@ def with_mtld(df: DataFrame, key: str, tokens: str) -> DataFrame:
             yield pd.DataFrame({key: pdf[key], "mtld": [mtld(list(t)) if t is not None else None for t in pdf[tokens]]}).astype({"mtld": "float64"})
 
     return df.select(key, tokens).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, mtld double")
+
+
+class _Factors:
+    """Factors of one pass over tokens that come one after the other."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.total, self.factors, self.seen, self.n = threshold, 0, 0.0, set(), 0
+
+    def add(self, tokens: list[str]) -> None:
+        for t in tokens:
+            self.n += 1
+            self.total += 1
+            self.seen.add(t)
+            if len(self.seen) / self.n <= self.threshold:
+                self.factors, self.seen, self.n = self.factors + 1, set(), 0
+
+    def value(self) -> float | None:
+        f = self.factors + ((1 - len(self.seen) / self.n) / (1 - self.threshold) if self.n else 0.0)
+        return self.total / f if f else None
+
+
+def ordered_mtld(df: DataFrame, group: str, order: list[str], tokens: str, threshold: float = 0.72, least: int = 50) -> DataFrame:
+    """(group, mtld) over the tokens of all rows of a group in order; null as in `mtld`. Rows with null tokens add none.
+
+    A pass depends on every token before, so a group is read by one task; but it streams through it, sorted, in Arrow batches,
+    so memory holds the words of one factor, whatever the size of the group. The backward pass reads the rows the other way.
+    """
+    kind = df.schema[group].dataType.simpleString()
+
+    def one_way(backward: bool) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own, state = None, None
+            for pdf in batches:
+                out = []
+                for g, t in zip(pdf[group], pdf[tokens]):
+                    if state is None or g != own:
+                        if state is not None:
+                            out.append((own, state.total, state.value()))
+                        own, state = g, _Factors(threshold)
+                    if t is not None:
+                        state.add(list(t)[::-1] if backward else list(t))
+                yield pd.DataFrame(out, columns=[group, "n", "v"]).astype({"n": "int64", "v": "float64"})
+            if state is not None:
+                yield pd.DataFrame([(own, state.total, state.value())], columns=[group, "n", "v"]).astype({"n": "int64", "v": "float64"})
+
+        by = [F.desc(c) if backward else F.asc(c) for c in order]
+        rows = df.where(F.col(group).isNotNull()).select(group, *order, tokens).repartition(group).sortWithinPartitions(group, *by)
+        return rows.select(group, tokens).mapInPandas(run, f"{group} {kind}, n long, v double")
+
+    there, back = one_way(False), one_way(True).select(group, F.col("v").alias("w"))
+    both = there.join(back, group)
+    return both.select(group, F.when((F.col("n") >= least) & ~F.isnan("v") & ~F.isnan("w"), (F.col("v") + F.col("w")) / 2).alias("mtld"))

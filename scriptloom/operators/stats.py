@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import average_ranks, quantiles
+from .ranking import quantiles, running_sums
 
 
 def correlation(x: str, y: str) -> Column:
@@ -24,14 +24,14 @@ def summary_long(df: DataFrame, metrics: Sequence[tuple[str, Column]]) -> DataFr
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n, mean, std, min, q25, q50, q75, max) with exact quantiles and the sample standard deviation."""
-    parts = []
-    for c in columns:
-        moments = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
-        parts.append(moments.join(F.broadcast(quantiles(df, c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}))).select(F.lit(c).alias("column"), "n", "mean", "std", "min", "q25", "q50", "q75", "max"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    m = lambda i, n: f"__{n}{i}"
+    moments = df.agg(*[f(c).alias(m(i, n)) for i, c in enumerate(columns) for n, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    # all columns as one long table of distinct values with their counts, so that one plan ranks them all
+    entry = lambda c: F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+    long = df.select(F.inline(F.array(*[entry(c) for c in columns])))
+    q = quantiles(long, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column"])
+    wide = moments.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(m(i, n)).alias(n) if n == "n" else F.col(m(i, n)).cast("double").alias(n) for n in ("n", "mean", "std", "min", "max")]) for i, c in enumerate(columns)])))
+    return wide.join(q, "column", "left").select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:
@@ -43,11 +43,16 @@ def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int)
 def pearson_spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, pearson, spearman) over complete pairs; null for fewer than 3. Ranks are averaged over ties."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    rx = average_ranks(pairs, "x").withColumnRenamed("rank", "rx")
-    ry = average_ranks(pairs, "y").withColumnRenamed("rank", "ry")
-    joined = pairs.join(rx, "x").join(ry, "y")
-    enough = F.count("*") >= 3
-    return joined.agg(F.count("*").alias("n"), F.when(enough, correlation("x", "y")).alias("pearson"), F.when(enough, correlation("rx", "ry")).alias("spearman"))
+    # equal pairs are counted before anything is joined to the ranks, so a value that many rows share is joined once a partner
+    counted = pairs.groupBy("x", "y").agg(F.count("*").alias("c"))
+    ranks = lambda v: running_sums(counted, v, {"n": F.sum("c")}).select(v, (F.col("before_n") + (F.col("n") + 1) / 2).alias("r" + v))
+    joined = counted.join(ranks("x"), "x").join(ranks("y"), "y")
+    n = F.col("n")
+    sums = joined.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *[F.sum(F.col("c") * F.col(a) * F.col(b)).alias(a + b) for a, b in (("rx", "rx"), ("rx", "ry"), ("ry", "ry"))], *[F.sum(F.col("c") * F.col(a)).alias(a) for a in ("rx", "ry")])
+    spearman = F.try_divide(n * F.col("rxry") - F.col("rx") * F.col("ry"), F.sqrt(n * F.col("rxrx") - F.col("rx") * F.col("rx")) * F.sqrt(n * F.col("ryry") - F.col("ry") * F.col("ry")))
+    # Pearson's from the rows, whose covariance is updated stably; ranks are half integers, of which sums are exact
+    plain = pairs.agg(correlation("x", "y").alias("p"))
+    return sums.join(F.broadcast(plain)).select("n", F.when(n >= 3, F.col("p")).alias("pearson"), F.when(n >= 3, spearman).alias("spearman"))
 
 
 def eta_squared(df: DataFrame, group: str, y: str) -> DataFrame:

@@ -8,15 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def mean_pool(df: DataFrame, group: str, vector: str) -> DataFrame:
     """(group, n, vector): element-wise mean in double precision; null vectors don't count. Lengths within a group must agree."""
-    parts = df.where(F.col(vector).isNotNull()).select(group, F.posexplode(vector).alias("at", "x"))
-    means = parts.groupBy(group, "at").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    return means.groupBy(group).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda s: s["m"]).alias("vector"))
+    rows = df.where(F.col(vector).isNotNull()).select(group, array_to_vector(F.col(vector).cast("array<double>")).alias("__v"))
+    return rows.groupBy(group).agg(F.count("*").alias("n"), vector_to_array(Summarizer.mean(F.col("__v"))).alias("vector"))
 
 
 def pca(train: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import attribution, calibration, metrics, models
+from ..operators.tree_attribution import tree_contributions
 from ..session import table
 from .base import FILMS_SQL, SCORED_SQL, films, scored_films
 from .registry import Registry
@@ -87,8 +88,25 @@ def lift_by_decile(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_rmse(spark: SparkSession, d: str) -> DataFrame:
-    """Interval of the root mean squared error by Poisson resampling."""
-    return metrics.bootstrap_interval(scored_films(spark, d), "target", "guess", metrics.squared_error_sums)
+    """Intervals of the errors of a guess from 2,000 Poisson resamples."""
+    return metrics.bootstrap_intervals(scored_films(spark, d), "target", "guess", "imdb_id", ["rmse", "mae"], 2000)
+
+
+@query()
+def bootstrap_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of AUC, F1, log loss and Brier score of a probability from 1,000 Poisson resamples."""
+    return metrics.bootstrap_intervals(scored_films(spark, d), "y", "p", "imdb_id", ["auc", "f1", "log_loss", "brier"])
+
+
+@query(
+    f"""with {SCORED_SQL}, r as (select y, p, avg(rn) over (partition by p) as rk from (select y, p, row_number() over (order by p) as rn from scored)), q as (select y, least(greatest(p, 1e-7), 1 - 1e-7) as q, p, (p >= 0.5)::int as h from scored)
+select 'auc' as metric, round((sum(case when y = 1 then rk end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) as point from r union all
+select 'f1', round(2.0 * sum(h * y) / (sum(h) + sum(y)), 6) from q union all select 'log_loss', round(-avg(case when y = 1 then ln(q) else ln(1 - q) end), 6) from q union all select 'brier', round(avg((p - y) ** 2), 6) from q"""
+)
+def bootstrap_points(spark: SparkSession, d: str) -> DataFrame:
+    """The point values beside those intervals."""
+    out = metrics.bootstrap_intervals(scored_films(spark, d), "y", "p", "imdb_id", ["auc", "f1", "log_loss", "brier"], 10)
+    return _r(out.select("metric", "point"), 6, "point")
 
 
 _LAC = ", s as (select case when y = 1 then 1 - p else p end as s from scored), o as (select s, row_number() over (order by s) as rn, count(*) over () as n from s), lv as (select unnest([0.8, 0.9, 0.95]) as level), q as (select level, max(case when rn = greatest(1, least(n, ceil(round((n + 1) * level, 9)))) then s end) as q from o, lv group by 1)"
@@ -122,6 +140,45 @@ def interval_coverage(spark: SparkSession, d: str) -> DataFrame:
     return out.select("level", "n", F.round("q", 5).alias("q"), F.round("coverage", 4).alias("coverage"), F.round("width", 5).alias("width"))
 
 
+_APS = ", s as (select case when (p >= 0.5) = (y = 1) then greatest(p, 1 - p) else 1.0 end as s from scored), o as (select s, row_number() over (order by s) as rn, count(*) over () as n from s), lv as (select unnest([0.5, 0.8, 0.9]) as level), q as (select level, max(case when rn = greatest(1, least(n, ceil(round((n + 1) * level, 9)))) then s end) as q from o, lv group by 1)"
+
+
+@query(
+    f"""with {SCORED_SQL}{_APS}, t as (select level, y, p < 0.5 or greatest(p, 1 - p) < q as i0, p >= 0.5 or greatest(p, 1 - p) < q as i1 from scored, q)
+select level::double as level, count(*) as n, round(avg((case when y = 1 then i1 else i0 end)::int), 6) as coverage, round(avg(i0::int + i1::int), 6) as mean_size, round(avg((i0::int + i1::int = 1)::int), 6) as share_single, round(avg((i0::int + i1::int = 2)::int), 6) as share_both, round(avg((i0::int + i1::int = 0)::int), 6) as share_empty from t group by 1"""
+)
+def adaptive_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage and size of the adaptive conformal sets."""
+    s = scored_films(spark, d)
+    out = calibration.set_coverage(calibration.adaptive_sets(s, calibration.adaptive_quantiles(s, "p", "y", [0.5, 0.8, 0.9]), "p"), "y")
+    return _r(out, 6, "coverage", "mean_size", "share_single", "share_both", "share_empty")
+
+
+_REL = ", b as (select exp(target) as t, exp(guess) as g from scored), s as (select round(abs(t - g) / g, 9) as s, g from b), o as (select s, row_number() over (order by s) as rn, count(*) over () as n from s), lv as (select unnest([0.8, 0.9]) as level), q as (select level, max(case when rn = greatest(1, least(n, ceil(round((n + 1) * level, 9)))) then s end) as q from o, lv group by 1)"
+
+
+@query(f"with {SCORED_SQL}{_REL} select level::double as level, (select count(*) from s) as n, round(q, 5) as q, round((select avg((s <= q.q + 1e-9)::int) from s), 4) as coverage, round(2 * q * (select avg(g) from s), 4) as width from q")
+def relative_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Conformal intervals whose width follows the guess, for a target above zero."""
+    s = scored_films(spark, d).select(F.exp("target").alias("t"), F.exp("guess").alias("g"))
+    out = calibration.relative_coverage(s, "t", "g", [0.8, 0.9])
+    return out.select("level", "n", F.round("q", 5).alias("q"), F.round("coverage", 4).alias("coverage"), F.round("width", 4).alias("width"))
+
+
+@query(
+    f"""with {SCORED_SQL}, s as (select y, p, case when y = 1 then 1 - p else p end as lac, case when (p >= 0.5) = (y = 1) then greatest(p, 1 - p) else 1.0 end as aps from scored),
+k as (select greatest(1, least(count(*), ceil(round((count(*) + 1) * 0.9, 9))))::bigint as k from s), q as (select (select list_sort(list(lac))[(select k from k)] from s) as ql, (select list_sort(list(aps))[(select k from k)] from s) as qa),
+c as (select 'aps' as score, avg((case when y = 1 then p >= 0.5 or greatest(p, 1 - p) < qa else p < 0.5 or greatest(p, 1 - p) < qa end)::int) as coverage from s, q union all select 'lac', avg((lac <= ql)::int) from s, q)
+select score, round(coverage, 6) as coverage from c order by round(abs(coverage - 0.9), 12), score limit 1"""
+)
+def conformal_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The score whose coverage at 0.9 is nearest to it."""
+    s = scored_films(spark, d)
+    sets = {"lac": calibration.class_sets(s, calibration.class_quantiles(s, "p", "y", [0.9]), "p"), "aps": calibration.adaptive_sets(s, calibration.adaptive_quantiles(s, "p", "y", [0.9]), "p")}
+    parts = [calibration.set_coverage(x, "y").select(F.lit(n).alias("score"), "level", "coverage") for n, x in sets.items()]
+    return _r(calibration.closest_coverage(parts[0].unionByName(parts[1])), 6, "coverage")
+
+
 @query(
     f"""with {SCORED_SQL}, l as (select imdb_id, y, p, round(-case when y = 1 then ln(greatest(p, 1e-7)) else ln(greatest(1 - p, 1e-7)) end, 6) as loss from scored)
 select 'most_correct' as side, imdb_id, loss from (select * from l where y = 1 order by loss, imdb_id limit 15) union all select 'most_wrong', imdb_id, loss from (select * from l order by loss desc, imdb_id limit 15)"""
@@ -260,3 +317,21 @@ def paired_rope(spark: SparkSession, d: str) -> DataFrame:
         m = metrics.threshold_metrics(s.withColumn("e", e), "y", "e", ["fold"]).select(F.lit(name).alias("family"), F.lit("brier").alias("metric"), "fold", (-F.col("brier")).alias("score"))
         parts = m if parts is None else parts.unionByName(m)
     return models.paired_comparisons(parts)
+
+
+@query()
+def tree_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """Exact contributions of the features to the score of a random forest, for every film."""
+    rows = _training(spark, d)
+    model = models.build_pipeline("random_forest", "classification", _FEATURES, numTrees=20, maxDepth=4).fit(rows)
+    return tree_contributions(model, rows, "imdb_id", _FEATURES)
+
+
+@query(f"with {FILMS_SQL} select imdb_id, 0 as off from films where budget > 0 and revenue > 0")
+def tree_attribution_adds_up(spark: SparkSession, d: str) -> DataFrame:
+    """For every film how far the contributions are from the score, in millionths."""
+    rows = _training(spark, d)
+    model = models.build_pipeline("random_forest", "classification", _FEATURES, numTrees=20, maxDepth=4).fit(rows)
+    total = tree_contributions(model, rows, "imdb_id", _FEATURES).groupBy("imdb_id").agg(F.sum("contribution").alias("t"))
+    score = model.transform(rows).select("imdb_id", models.score_of(["probability"], "classification").alias("s"))
+    return total.join(score, "imdb_id").select("imdb_id", F.round(F.abs(F.col("t") - F.col("s")) * 1e6).cast("int").alias("off"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..functions import text as tx
 from ..operators import graph, screenplay, sequence, vector
 from ..operators.models import topics
@@ -17,6 +18,8 @@ from .registry import Registry
 query = Registry()
 
 _TOK = r"list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z''\-]*'), lambda x: lower(x))"
+_FIRST = "('i', 'me', 'my', 'mine', 'myself')"
+_SECOND = "('you', 'your', 'yours', 'yourself', 'yourselves', 'thou', 'thee', 'thy', 'thine', 'thyself')"
 _DOCS = f"docs as (select doc_id, text, {_TOK} as toks from documents where text is not null)"
 _WORDS = f"{_DOCS}, words as (select doc_id, unnest(toks) as w from docs)"
 
@@ -36,7 +39,7 @@ def _in(words: tuple[str, ...]) -> str:
 
 @query(
     f"""with {_WORDS}, c as (select doc_id, w, count(*) as n from words group by 1, 2), h as (select doc_id, sum(n)::bigint as n_tokens, count(*) as n_types, round(avg((n = 1)::int), 6) as hapax_ratio from c group by 1),
-p as (select doc_id, round(count_if(w in {_in(tx.FIRST_PERSON)}) / (count_if(w in {_in(tx.SECOND_PERSON)}) + 1.0), 6) as pronoun_ratio from words group by 1)
+p as (select doc_id, round(count_if(w in {_FIRST}) / (count_if(w in {_SECOND}) + 1.0), 6) as pronoun_ratio from words group by 1)
 select d.doc_id, coalesce(n_tokens, 0) as n_tokens, coalesce(n_types, 0) as n_types, hapax_ratio, pronoun_ratio, round(1000.0 * (length(text) - length(replace(text, '?', ''))) / greatest(n_tokens, 1), 4) as questions, v.votes
 from docs d left join h using (doc_id) left join p using (doc_id) left join (select doc_id, sum(abusive)::bigint as votes from review_labels group by 1) v using (doc_id)"""
 )
@@ -158,42 +161,104 @@ def quartile_trajectory(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """with e as (select user_id, value as v, row_number() over (partition by user_id order by ts, event_id) - 1 as i, count(*) over (partition by user_id) as n from events where value is not null and user_id is not null),
 g as (select user_id, j, sum(case when n = 1 then v else v * (1 - abs(j * (n - 1) / 19.0 - i)) end) as v from e, (select unnest(range(20)) as j) where n = 1 or abs(j * (n - 1) / 19.0 - i) < 1 group by 1, 2),
-c as (select user_id, v, j / 19.0 as x from g) select user_id, case when stddev_pop(v) > 1e-12 then round(corr(v, x), 4) end as rise, case when stddev_pop(v) > 1e-12 then round(corr(v, cos(2 * pi() * x)), 4) end as fall_rise, case when stddev_pop(v) > 1e-12 then round(corr(v, -cos(4 * pi() * x)), 4) end as rise_fall_rise from c group by 1"""
+c as (select user_id, v, j / 19.0 as x, stddev_pop(v) over (partition by user_id) > 1e-12 as moves from g)
+select user_id, """
+    + ", ".join(f"case when bool_and(moves) then round(corr(v, {x}), 4) end as {n}" for n, x in (("rise", "x"), ("fall", "-x"), ("fall_rise", "cos(2 * pi() * x)"), ("rise_fall", "-cos(2 * pi() * x)"), ("rise_fall_rise", "-cos(4 * pi() * x)"), ("fall_rise_fall", "cos(4 * pi() * x)")))
+    + " from c group by 1"
 )
 def arc_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Shape of each user's series of event values."""
     e = table(spark, d, "events").where("user_id is not null")
     seq = sequence.numbered(e.withColumn("day", F.to_date("ts")), "user_id", ["ts", "event_id"], "value", block="day")
     out = sequence.arc_similarity(sequence.resampled(seq, "user_id"), "user_id")
-    return out.select("user_id", *[F.round(c, 4).alias(c) for c in ("rise", "fall_rise", "rise_fall_rise")])
+    return out.select("user_id", *[F.round(c, 4).alias(c) for c in sequence.ARCS])
 
 
-def _markup(spark: SparkSession, d: str) -> DataFrame:
-    """Scenes written as tagged scripts of one scene each; characters that XML forbids are escaped."""
-    esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+def _elements(spark: SparkSession, d: str) -> DataFrame:
+    """(scene_id, heading, first, second): the scenes as the elements (kind, text) of two scenes of a script.
+
+    Each unit becomes a character with a parenthetical and, if it has a text, a dialogue; every third unit is followed by a break
+    and a dialogue without a character, every fourth goes on in a second dialogue, every fifth is followed by an element that is
+    unknown. Scenes of four units or more are split in the middle.
+    """
     rows = scenes(spark, d, "stage_direction", "dialogue_units")
-    unit = F.transform(F.coalesce("dialogue_units", F.array().cast("array<struct<speaker:string,text:string>>")), lambda u: F.concat(F.lit("<character>"), esc(u["speaker"]), F.lit("</character><parenthetical>beat</parenthetical><dialogue>"), esc(u["text"]), F.lit("</dialogue>")))
-    return rows.select("scene_id", F.concat(F.lit("<script><scene><stage_direction>"), esc(F.col("stage_direction")), F.lit("</stage_direction>"), F.array_join(unit, ""), F.lit("</scene></script>")).alias("xml"))
+    e = lambda kind, text: F.struct(F.lit(kind).alias("kind"), F.trim(F.coalesce(text, F.lit(""))).alias("text"))
+    some = lambda c, *x: F.when(c, F.array(*x)).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))
+    unit = lambda u, i: F.concat(
+        F.array(e("character", u["speaker"]), e("aside", F.lit("beat"))), some(F.coalesce(F.trim(u["text"]), F.lit("")) != "", e("dialogue", u["text"])), some((i + 1) % 4 == 0, e("dialogue", F.lit("more"))),
+        some((i + 1) % 3 == 0, e("heading", F.lit("cut")), e("dialogue", F.lit("voice"))), some((i + 1) % 5 == 0, e("transition", F.lit("x"))),
+    )
+    units_ = F.coalesce("dialogue_units", F.array().cast("array<struct<speaker:string,text:string>>"))
+    made = rows.withColumn("n", F.size(units_)).withColumn("parts", F.transform(units_, lambda u, i: F.struct(i.alias("i"), unit(u, i).alias("e"))))
+    half = F.when(F.col("n") >= 4, F.floor(F.col("n") / 2)).otherwise(F.col("n"))
+    side = lambda keep: F.flatten(F.transform(F.filter("parts", keep), lambda p: p["e"]))
+    return made.select("scene_id", F.trim(F.coalesce("stage_direction", F.lit(""))).alias("heading"), side(lambda p: p["i"] < half).alias("first"), F.when(F.col("n") >= 4, side(lambda p: p["i"] >= half)).alias("second"))
 
 
-@query(
-    rf"""with {SCENES_SQL}, u as (select scene_id, unnest(dialogue_units) as u from once where dialogue_units is not null), t as (select scene_id, trim(regexp_replace(coalesce(u.speaker, ''), '\s*\([^)]*\)\s*$', '')) as speaker, trim(coalesce(u.text, '')) as text from u),
-l as (select scene_id, count(*) as n_lines, count(distinct case when speaker <> '' and text <> '' then speaker end) as n_speakers, sum(length(text))::bigint as dialogue_chars, count_if(speaker = '') as n_warnings from t group by 1)
-select scene_id, 1::bigint as n_scenes, coalesce(n_lines, 0) as n_lines, coalesce(n_speakers, 0) as n_speakers, coalesce(dialogue_chars, 0) as dialogue_chars, coalesce(n_warnings, 0)::bigint as n_warnings from once left join l using (scene_id)"""
-)
+def _markup(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes written as tagged scripts; characters that XML forbids are escaped."""
+    tags = {"heading": "stage_direction", "aside": "parenthetical"}
+    esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+    tag = lambda k: F.when(k == "heading", tags["heading"]).when(k == "aside", tags["aside"]).otherwise(k)
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("<"), tag(x["kind"]), F.lit(">"), esc(x["text"]), F.lit("</"), tag(x["kind"]), F.lit(">"))), "")
+    second = F.coalesce(F.concat(F.lit("<scene>"), text(F.col("second")), F.lit("</scene>")), F.lit(""))
+    return _elements(spark, d).select("scene_id", F.concat(F.lit("<script><scene><stage_direction>"), esc(F.col("heading")), F.lit("</stage_direction>"), text(F.col("first")), F.lit("</scene>"), second, F.lit("</script>")).alias("xml"))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """The same scripts as nested records."""
+    kind = lambda k: F.when(k == "heading", "action").when(k == "aside", "parenthetical").otherwise(k)
+    made = lambda c: F.transform(c, lambda x: F.struct(kind(x["kind"]).alias("type"), F.when(x["kind"] != "character", x["text"]).alias("text"), F.when(x["kind"] == "character", x["text"]).alias("name")))
+    scene = lambda h, c: F.struct(h.alias("heading"), made(F.col(c)).alias("elements"))
+    return _elements(spark, d).select("scene_id", F.filter(F.array(scene(F.col("heading"), "first"), F.when(F.col("second").isNotNull(), scene(F.lit(""), "second"))), lambda x: x.isNotNull()).alias("scenes"))
+
+
+_PLAYED = rf"""{SCENES_SQL}, n as (select scene_id, len(coalesce(dialogue_units, [])) as n, dialogue_units from once),
+u as (select scene_id, n, unnest(dialogue_units) as u, generate_subscripts(dialogue_units, 1) as i from n where n > 0),
+v as (select scene_id, i, case when n >= 4 and i > n // 2 then 2 else 1 end as scene_no, trim(coalesce(u.text, '')) as text, trim(coalesce(u.speaker, '')) as raw from u),
+w as (select *, case when trim(regexp_replace(raw, '\s*\([^)]*\)\s*$', '')) = '' then raw else trim(regexp_replace(raw, '\s*\([^)]*\)\s*$', '')) end as name from v),
+x as (select *, case when name = '' or regexp_matches(name, '[©®™]|^\d{{4}}|(?i:studios|pictures\s+inc|productions\s+llc)') then '' else name end as who from w),
+l as (select scene_id, scene_no, i, 1 as k, who as speaker, text from x where text <> '' union all select scene_id, scene_no, i, 2, who, 'more' from x where i % 4 = 0
+  union all select scene_id, scene_no, i, 3, who, '' from x where text = '' and i % 4 <> 0 and who <> '' union all select scene_id, scene_no, i, 4, '', 'voice' from x where i % 3 = 0),
+lines as (select scene_id, scene_no, (row_number() over (partition by scene_id, scene_no order by i, k))::int as line_no, speaker, text, k from l),
+warns as (select scene_id, count(*) as n from (select scene_id from lines where speaker = '' union all select scene_id from x where who = '' union all select scene_id from lines where k = 3
+  union all select scene_id from (select distinct scene_id, scene_no from x where i % 5 = 0)) group by 1)"""
+_STRUCTURE = f"""with {_PLAYED}, g as (select scene_id, count(*) as n_lines, count(distinct case when speaker <> '' and text <> '' then speaker end) as n_speakers, sum(length(text))::bigint as dialogue_chars from lines group by 1)
+select n.scene_id, (case when n.n >= 4 then 2 else 1 end)::bigint as n_scenes, coalesce(n_lines, 0) as n_lines, coalesce(n_speakers, 0) as n_speakers, coalesce(dialogue_chars, 0) as dialogue_chars, coalesce(warns.n, 0) as n_warnings
+from n left join g using (scene_id) left join warns using (scene_id)"""
+_LINES = f"with {_PLAYED} select scene_id, scene_no::int as scene_no, line_no, speaker, text from lines"
+
+
+def _structure(parsed: DataFrame) -> DataFrame:
+    return screenplay.structure(parsed, "scene_id").select("scene_id", "n_scenes", "n_lines", "n_speakers", "dialogue_chars", "n_warnings")
+
+
+def _lines_of(parsed: DataFrame) -> DataFrame:
+    return parsed.where("kind = 'line'").select("scene_id", "scene_no", "line_no", "speaker", "text")
+
+
+@query(_STRUCTURE)
 def structure_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Structural measures of tagged scripts: every scene is written as markup and read again."""
-    out = screenplay.structure(screenplay.parse_scripts(_markup(spark, d), "scene_id", "xml"), "scene_id")
-    return out.select("scene_id", "n_scenes", "n_lines", "n_speakers", "dialogue_chars", "n_warnings")
+    """Structural measures of tagged scripts: the scenes are written as markup and read again."""
+    return _structure(screenplay.parse_scripts(_markup(spark, d), "scene_id", "xml"))
 
 
-@query(
-    rf"""with {SCENES_SQL}, u as (select scene_id, generate_subscripts(dialogue_units, 1)::int as line_no, unnest(dialogue_units) as u from once where dialogue_units is not null)
-select scene_id, line_no, trim(regexp_replace(coalesce(u.speaker, ''), '\s*\([^)]*\)\s*$', '')) as speaker, trim(coalesce(u.text, '')) as text from u"""
-)
+@query(_LINES)
 def speaker_attribution(spark: SparkSession, d: str) -> DataFrame:
     """The lines of the tagged scripts with their speakers."""
-    return screenplay.parse_scripts(_markup(spark, d), "scene_id", "xml").where("kind = 'line'").select("scene_id", "line_no", "speaker", "text")
+    return _lines_of(screenplay.parse_scripts(_markup(spark, d), "scene_id", "xml"))
+
+
+@query(_STRUCTURE)
+def record_structure(spark: SparkSession, d: str) -> DataFrame:
+    """The same measures of the scripts as nested records."""
+    return _structure(screenplay.parse_records(_records(spark, d), "scene_id", "scenes"))
+
+
+@query(_LINES)
+def record_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the nested records with their speakers."""
+    return _lines_of(screenplay.parse_records(_records(spark, d), "scene_id", "scenes"))
 
 
 @query(
@@ -301,3 +366,80 @@ def windowed_events(spark: SparkSession, d: str) -> DataFrame:
     """Events by hour and type, by the plan the stream uses."""
     out = windowed_counts(table(spark, d, "events"), "ts", "event_type", "value")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+_FILM_LEXICAL = f"""with {UNITS_SQL}, l as (select imdb_id, text, list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z''\\-]*'), lambda x: lower(x)) as toks from units where trim(text) <> '' and imdb_id is not null),
+w as (select imdb_id, unnest(toks) as w from l), c as (select imdb_id, w, count(*) as n from w group by 1, 2),
+h as (select imdb_id, sum(n)::bigint as n_tokens, count(*) as n_types, round(avg((n = 1)::int), 6) as hapax_ratio, round(sum(case when w in {_FIRST} then n else 0 end) / (sum(case when w in {_SECOND} then n else 0 end) + 1.0), 6) as pronoun_ratio from c group by 1),
+g as (select imdb_id, count(*) as n_lines, round(avg(len(toks)), 6) as mean_tokens, round(stddev_pop(len(toks)), 6) as std_tokens, round(avg((len(toks) < 5)::int), 6) as share_short,
+  round(1000.0 * sum(length(text) - length(replace(text, '?', ''))) / greatest(sum(len(toks)), 1), 4) as questions, round(1000.0 * sum(length(text) - length(replace(text, '!', ''))) / greatest(sum(len(toks)), 1), 4) as exclamations from l group by 1)
+select g.*, coalesce(n_tokens, 0) as n_tokens, coalesce(n_types, 0) as n_types, hapax_ratio, pronoun_ratio from g left join h using (imdb_id)"""
+
+
+@query(_FILM_LEXICAL)
+def film_lexical(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical features of each film: lines, lengths, punctuation, types, hapaxes and pronouns, from counts by film and word."""
+    lines = units(spark, d).where("trim(text) <> '' and imdb_id is not null").select("imdb_id", "text", tx.tokens(F.col("text")).alias("toks"))
+    n = F.size("toks")
+    rate = lambda m: F.round(1000.0 * F.sum(tx.count_of(F.col("text"), m)) / F.greatest(F.sum(n), F.lit(1)), 4)
+    per_line = lines.groupBy("imdb_id").agg(F.count("*").alias("n_lines"), F.round(F.avg(n), 6).alias("mean_tokens"), F.round(F.stddev_pop(n), 6).alias("std_tokens"), F.round(F.avg((n < 5).cast("double")), 6).alias("share_short"), rate("?").alias("questions"), rate("!").alias("exclamations"))
+    counts = lines.select("imdb_id", F.explode_outer("toks").alias("w")).where("w is not null").groupBy("imdb_id", "w").agg(F.count("*").alias("n"))
+    of = lambda words: F.sum(F.when(F.col("w").isin(*words), F.col("n")).otherwise(0))
+    per_word = counts.groupBy("imdb_id").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_types"), F.round(F.avg((F.col("n") == 1).cast("double")), 6).alias("hapax_ratio"), F.round(of(tx.FIRST_PERSON) / (of(tx.SECOND_PERSON) + 1.0), 6).alias("pronoun_ratio"))
+    return per_line.join(per_word, "imdb_id", "left").na.fill(0, ["n_tokens", "n_types"])
+
+
+@query()
+def film_mtld(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical diversity over all words of each film in order, streamed through sorted partitions."""
+    lines = units(spark, d).where("trim(text) <> '' and imdb_id is not null").select("imdb_id", "scene_id", "unit_no", tx.tokens(F.col("text")).alias("toks"))
+    return sequence.ordered_mtld(lines, "imdb_id", ["scene_id", "unit_no"], "toks")
+
+
+_MOOD = {"n": "n_scored", "mean": "mood_mean", "std": "mood_std", "range": "mood_range", "share_zero": "mood_zero"}
+
+
+def film_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    """Moments and trajectory of the valence of each film's lines."""
+    return sentiment_aggregates(spark, d).withColumnsRenamed(_MOOD).join(quartile_trajectory(spark, d).withColumnRenamed("std_range", "mood_std_range"), "imdb_id", "left")
+
+
+_FILM_SENTIMENT = f"select a.imdb_id, {', '.join(f'{o} as {n}' for o, n in _MOOD.items())}, q1, q2, q3, q4, std_range as mood_std_range from ({query.sql['sentiment_aggregates']}) a left join ({query.sql['quartile_trajectory']}) b using (imdb_id)"
+query(_FILM_SENTIMENT)(film_sentiment)
+
+
+def film_network(spark: SparkSession, d: str) -> DataFrame:
+    """Density, shares and clustering of each film's graph; films whose scenes lost their bounds have no graph (`flagged`)."""
+    lost = units(spark, d).where("imdb_id is not null").groupBy("imdb_id").agg(F.count_distinct("scene_id").alias("s"), F.sum(F.length("text")).alias("c")).select("imdb_id", scalars.quality_flag(F.col("s"), F.col("c"), 5, 2000).alias("flagged"))
+    wide = graph_density(spark, d).join(gini_and_shares(spark, d).drop("n_nodes"), "imdb_id", "left").join(graph_clustering(spark, d), "imdb_id", "left").join(lost, "imdb_id")
+    return wide.select("imdb_id", "flagged", *[F.when(~F.col("flagged"), F.col(c)).alias(c) for c in wide.columns if c not in ("imdb_id", "flagged")])
+
+
+_NETWORK = ("n_nodes", "n_edges", "mean_weight", "density", "n_leads", "gini", "top1_share", "top3_share", "clustering")
+_FILM_NETWORK = f"""with {UNITS_SQL}, lost as (select imdb_id, coalesce(count(distinct scene_id) < 5 and sum(length(text)) > 2000, false) as flagged from units where imdb_id is not null group by 1),
+a as (select * from ({query.sql['graph_density']})), b as (select * exclude (n_nodes) from ({query.sql['gini_and_shares']})), c as (select * from ({query.sql['graph_clustering']}))
+select imdb_id, flagged, {', '.join(f'case when not flagged then {x} end as {x}' for x in _NETWORK)} from a left join b using (imdb_id) left join c using (imdb_id) join lost using (imdb_id)"""
+query(_FILM_NETWORK)(film_network)
+
+
+def film_features(spark: SparkSession, d: str) -> DataFrame:
+    """All features of a film side by side; films that lack a group have nulls there and `has_network` tells of the graph."""
+    wide = film_lexical(spark, d).join(film_sentiment(spark, d), "imdb_id", "full").join(film_network(spark, d), "imdb_id", "full")
+    return wide.withColumn("has_network", F.col("n_nodes").isNotNull()).na.fill(False, ["flagged"])
+
+
+query(f"select * replace (coalesce(flagged, false) as flagged), n_nodes is not null as has_network from ({_FILM_LEXICAL}) a full join ({_FILM_SENTIMENT}) b using (imdb_id) full join ({_FILM_NETWORK}) c using (imdb_id)")(film_features)
+
+
+@query(
+    f"""with {SCENES_SQL}, h as (select scene_id, trim(replace(case when stage_direction <> '' then stage_direction when scene_description <> '' then scene_description else '' end, chr(10), ' ')) as h, stage_direction as sd, scene_description as de, dialogue_units as u from once)
+select scene_id, substr(case when h <> '' then h when len(u) > 0 then coalesce(u[1].speaker, '') || ': ' || substr(coalesce(u[1].text, ''), 1, 60) else '' end, 1, 80) as heading,
+concat_ws(' ', nullif(trim(sd), ''), nullif(trim(de), '')) as action, trim(replace(substr(coalesce(de, ''), 1, 40), chr(10), ' ⏎ ')) as head, trim(replace(right(coalesce(de, ''), 40), chr(10), ' ⏎ ')) as tail from h"""
+)
+def scene_headings(spark: SparkSession, d: str) -> DataFrame:
+    """One line that names each scene, its action text, and the beginning and end of its description on one line."""
+    rows = scenes(spark, d, "stage_direction", "scene_description", "dialogue_units")
+    return rows.select(
+        "scene_id", tx.scene_heading(F.col("stage_direction"), F.col("scene_description"), F.col("dialogue_units")).alias("heading"), tx.action_text(F.col("stage_direction"), F.col("scene_description")).alias("action"),
+        tx.chunk(F.col("scene_description"), 40).alias("head"), tx.chunk(F.col("scene_description"), 40, tail=True).alias("tail"),
+    )

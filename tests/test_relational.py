@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,9 +123,24 @@ def test_metrics_edges(spark):
 
 
 def test_bootstrap(spark):
-    df = spark.range(400).select((F.col("id") % 7).cast("double").alias("y"), ((F.col("id") * 3) % 11).cast("double").alias("p"))
-    a, b = (metrics.bootstrap_interval(df, "y", "p", metrics.squared_error_sums).first() for _ in range(2))
-    assert a == b and a["low"] < a["point"] < a["high"]
+    df = spark.range(400).select("id", (F.col("id") % 2).cast("double").alias("y"), ((F.col("id") * 37) % 101 / 101 * 0.6 + F.col("id") % 2 * 0.3).alias("p"))
+    names = ["rmse", "mae", "brier", "log_loss", "f1", "auc"]
+    a, b = ({r["metric"]: r for r in metrics.bootstrap_intervals(x, "y", "p", "id", names, 200).collect()} for x in (df, df.repartition(7)))
+    assert set(a) == set(names)
+    for m in names:
+        assert a[m]["low"] == pytest.approx(b[m]["low"]) and a[m]["low"] < a[m]["point"] < a[m]["high"]
+    assert a["auc"]["point"] == pytest.approx(metrics.ranking_metrics(df, "y", "p").first()["auc"])
+    # the spread is that of a mean of 400 values
+    e = [abs(r["p"] - r["y"]) for r in df.collect()]
+    sd = (sum(x * x for x in e) / 400 - (sum(e) / 400) ** 2) ** 0.5
+    assert (a["mae"]["high"] - a["mae"]["low"]) / (2 * 1.96 * sd / 20) == pytest.approx(1.0, abs=0.25)
+    assert metrics.bootstrap_intervals(df.where("id < 0"), "y", "p", "id", names, 20).count() == 0
+
+
+def test_poisson_counts():
+    c = metrics.poisson_counts(np.arange(2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 500, 1)
+    assert c.mean() == pytest.approx(1.0, abs=0.01) and c.var() == pytest.approx(1.0, abs=0.02)
+    assert abs(np.corrcoef(c[:-1, 0], c[1:, 0])[0, 1]) < 0.1 and abs(np.corrcoef(c[:, 0], c[:, 1])[0, 1]) < 0.1
 
 
 def test_student_and_pairs(spark):

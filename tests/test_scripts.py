@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from scriptloom.functions import scalars
 from scriptloom.functions import text as tx
 from scriptloom.operators import graph, screenplay, sequence, vector
 from scriptloom.operators.models import topics
@@ -30,7 +31,31 @@ def test_who_speaks():
     assert lines(scene(c("BOB") + dl("a") + c("2001 FOX") + dl("b") + dl("c"))) == [("BOB", "a"), ("", "b"), ("", "c")]
     assert lines(scene(c("EVE"))) == [("EVE", "")]
     assert lines(scene(c("A &amp; B") + "<x/>" + "<x/>" + dl("ok"))) == [("A & B", "ok")]
-    assert warnings(scene(c("A") + "<x/><x/>" + dl("ok"))) == ["unknown tag x"]
+    assert warnings(scene(c("A") + "<x/><x/>" + dl("ok"))) == ["unknown element: x"]
+    assert warnings(scene(c("BOB") + c("EVE") + dl("a") + a + dl("b"))) == ["character without dialogue: BOB", "dialogue without a speaker"]
+    assert warnings(scene(c("ACME Studios") + dl("a")))[0] == "implausible character: ACME Studios"
+    for name, ok in (("PICTURES INC", False), ("PRODUCTIONS LLC", False), ("© X", False), ("1999 X", False), ("MOVING PICTURES", True), ("COPYRIGHT CLERK", True), ("MR PRODUCTIONS", True)):
+        assert lines(scene(c(name) + dl("a"))) == [(name if ok else "", "a")]
+
+
+def test_records_speak_as_scripts(spark):
+    e = lambda t, x: {"type": t, "text": None if t == "character" else x, "name": x if t == "character" else None}
+    scenes_ = [{"heading": " INT. ", "elements": [e("action", "rain"), e("character", "BOB (V.O.)"), e("parenthetical", "low"), e("dialogue", "a"), e("dialogue", "b"), e("transition", "x"), e("action", "wind"), e("dialogue", "c"), None]}, {"heading": None, "elements": None}]
+    rows = list(screenplay.read_record(scenes_))
+    assert [(r[3], r[4]) for r in rows if r[0] == "line"] == [("BOB", "a"), ("BOB", "b"), ("", "c")]
+    assert [(r[5], r[6]) for r in rows if r[0] == "scene"] == [("INT.", "rain wind"), ("", "")]
+    assert [r[7] for r in rows if r[0] == "warning"] == ["unknown element: transition", "dialogue without a speaker"]
+    assert [r[7] for r in screenplay.read_record(None)] == ["no scenes"]
+    kind = "id int, scenes array<struct<heading:string,elements:array<struct<type:string,text:string,name:string>>>>"
+    df = spark.createDataFrame([(1, scenes_), (2, None), (3, [])], kind)
+    got = {r["id"]: r for r in screenplay.structure(screenplay.parse_records(df, "id", "scenes"), "id").collect()}
+    assert got[1]["n_lines"] == 3 and got[1]["n_scenes"] == 2 and got[2]["n_warnings"] == got[3]["n_warnings"] == 1
+
+
+def test_names_of_features(spark):
+    names = {"genre_Comedy": "Genre=Comedy", "topic_05_proportion": "Topic 05 proportion", "embed_pc_12": "Embedding PC 12", "log_n_scenes": "log(n_scenes)", "a_b": "a b", "genre_" + "x" * 300: "Genre=" + "x" * 300}
+    got = spark.createDataFrame([(k,) for k in names], "n string").select("n", scalars.readable_feature(F.col("n")).alias("r")).collect()
+    assert {r["n"]: r["r"] for r in got} == names
 
 
 def test_damaged_scripts(spark):
@@ -56,7 +81,7 @@ def test_text(spark):
 def test_mtld():
     assert sequence.mtld(["a"] * 49) is None
     assert sequence.mtld(["a"] * 50) == pytest.approx(2.0, abs=0.2)
-    assert sequence.mtld([str(i) for i in range(60)]) == 60.0
+    assert sequence.mtld([str(i) for i in range(60)]) is None
 
 
 def series(spark, values):

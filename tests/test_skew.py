@@ -8,8 +8,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from scriptloom.operators import attribution, calibration, dedupe, relational, reports, screenplay, sequence, stats
-from scriptloom.operators.ranking import running_sums
+from scriptloom.operators import attribution, calibration, dedupe, graph, relational, reports, screenplay, sequence, stats
+from scriptloom.operators.ranking import row_numbers, running_sums
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +100,34 @@ def test_keep_one_wide(spark):
         assert got == {(r["k"], r["v"], r["at"]) for r in dedupe.keep_one(df, ["k"], [F.col("at")], ["k", "v", "at"]).collect()}
         assert len(got) == 604 and (None, "m", 0) in got
     assert dedupe.keep_one_wide(df.where("false"), ["k"], [F.col("at")], ["k", "v"]).count() == 0
+
+
+def test_heavy_ties(hot):
+    """A value in a third of the rows: ranked by ranges of the key, the same as in one window."""
+    few, many = ({r["id"]: r["rn"] for r in row_numbers(hot.dropDuplicates(["id"]).drop("rn"), "v", "id", tie_rows=t).collect()} for t in (10**6, 10))
+    assert few == many and sorted(many.values()) == list(range(1, len(many) + 1))
+    rows = hot.where("v is not null").select(F.col("v").alias("x"), F.col("s").cast("double").alias("y"))
+    pdf = rows.toPandas()
+    got = stats.pearson_spearman(hot.withColumn("s", F.col("s").cast("double")), "v", "s").first()
+    assert got["n"] == len(pdf) and abs(got["pearson"] - pdf["x"].corr(pdf["y"])) < 1e-9 and abs(got["spearman"] - pdf["x"].rank().corr(pdf["y"].rank())) < 1e-9
+    flat = stats.pearson_spearman(hot.withColumn("flat", F.lit(1.0)), "flat", "v").first()
+    assert flat["pearson"] is None and flat["spearman"] is None
+
+
+def test_hub_graph(spark):
+    """A hub that is linked to everyone: triangles as counted by hand."""
+    pairs = [("f", "hub", f"n{i:03d}", 1) for i in range(200)] + [("f", f"n{i:03d}", f"n{i + 1:03d}", 1) for i in range(0, 200, 2)]
+    nodes = [("f", n, 5) for n in {x for p in pairs for x in p[1:3]}] + [("g", "a", 5)]
+    got = {r["g"]: r["clustering"] for r in graph.clustering(spark.createDataFrame(nodes, "g string, m string, n_lines int"), spark.createDataFrame(pairs, "g string, a string, b string, weight int"), "g", "m").collect()}
+    assert abs(got["f"] - (200 * 1.0 + 100 / (200 * 199 / 2)) / 201) < 1e-9 and got["g"] is None
+
+
+def test_ordered_mtld(spark):
+    rnd = random.Random(2)
+    words = {g: [rnd.choice("abcdefghij") * rnd.randrange(1, 4) for _ in range(n)] for g, n in (("hot", 900), ("b", 60), ("short", 10), ("all", 0))}
+    rows = [(g, k, w[k : k + 7]) for g, w in words.items() for k in range(0, len(w), 7)] + [("hot", 5000, None), ("uniq", 1, [f"w{i}" for i in range(80)])]
+    rnd.shuffle(rows)
+    got = {r["g"]: r["mtld"] for r in sequence.ordered_mtld(spark.createDataFrame(rows, "g string, k int, t array<string>"), "g", ["k"], "t").collect()}
+    assert got["short"] is None and got["uniq"] is None
+    for g in ("hot", "b"):
+        assert abs(got[g] - sequence.mtld(words[g])) < 1e-9
