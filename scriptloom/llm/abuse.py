@@ -14,7 +14,7 @@ digits and signs for letters, letters set apart, and repeated letters. Asterisks
 
 Scoring is one pass over all documents without a shuffle; the model (a few MB, of fixed size) goes to the workers as a
 broadcast. Training reads at most `max_abusive` documents voted abusive and `max_others`
-others, drawn by a hash of their id.
+others, drawn by a hash of their id, of at most `max_chars` characters together.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 BUCKETS, DIM, NGRAMS = 1 << 18, 4, (3, 4, 5)
 #: Bounds on the labelled documents used for training: voted abusive, and others.
 MAX_ABUSIVE, MAX_OTHERS = 1500, 5000
+#: Bound on the characters of their texts together; whole documents are left out beyond it.
+MAX_CHARS = 40_000_000
 #: Neutral words added to every sentence, so that the mean of one or two common words says little.
 PAD = 2
 #: Length of a training step over the whole table of embeddings.
@@ -100,26 +102,38 @@ def features(word: str, buckets: int) -> list[int]:
     return [xxhash.xxh32_intdigest(g) % buckets for g in sorted(grams)]
 
 
+def _sums(values: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows, one dimension after the other, which is several times faster than whole rows of few numbers."""
+    return np.stack([np.add.reduceat(np.ascontiguousarray(values[:, k]).take(rows), starts) for k in range(values.shape[1])], axis=1)
+
+
 class _Bag:
     """Rows that are means of other rows, with the transposed sums for the gradient."""
 
-    def __init__(self, rows: list[list[int]], n_columns: int, pad: int = 0):
-        sizes = np.array([len(r) for r in rows])
-        self.columns = np.fromiter((c for r in rows for c in r), dtype=np.int64, count=int(sizes.sum()))
+    def __init__(self, sizes: np.ndarray, columns: np.ndarray, n_columns: int, pad: int = 0):
+        self.sizes, self.columns, self.n_columns, self.pad = sizes, columns, n_columns, pad
         self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.scale = (1.0 / (sizes + pad)).astype(np.float32)
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        order = np.argsort(self.columns, kind="stable")
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(columns, kind="stable")
         self.back = owner[order]
-        seen, self.back_starts = np.unique(self.columns[order], return_index=True)
-        self.seen, self.n_columns = seen, n_columns
+        self.seen, self.back_starts = np.unique(columns[order], return_index=True)
+
+    @classmethod
+    def of(cls, rows: list[list[int]], n_columns: int, pad: int = 0) -> _Bag:
+        return cls(np.array([len(r) for r in rows]), np.fromiter((c for r in rows for c in r), dtype=np.int64), n_columns, pad)
+
+    def only(self, rows: np.ndarray, columns: np.ndarray | None = None) -> _Bag:
+        """The rows of a mask; with `columns`, sorted and all that these rows have, by their places among them."""
+        own = self.columns[np.repeat(rows, self.sizes)]
+        return _Bag(self.sizes[rows], own if columns is None else np.searchsorted(columns, own), self.n_columns if columns is None else len(columns), self.pad)
 
     def mean(self, values: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(values[self.columns], self.starts, axis=0) * self.scale[:, None]
+        return _sums(values, self.columns, self.starts) * self.scale[:, None]
 
     def gradient(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros((self.n_columns, rows.shape[1]), dtype=np.float32)
-        out[self.seen] = np.add.reduceat((rows * self.scale[:, None])[self.back], self.back_starts, axis=0)
+        out[self.seen] = _sums(rows * self.scale[:, None], self.back, self.back_starts)
         return out
 
 
@@ -210,8 +224,12 @@ def fit(docs: list[tuple[str, float]], other_weight: float = 1.0, rounds: int =
     sid = {s: i for i, s in enumerate(unique)}
     vocabulary = sorted({w for s in unique for w in s})
     wid = {w: i for i, w in enumerate(vocabulary)}
-    words = _Bag([features(w, buckets) for w in vocabulary], buckets)
-    bag = _Bag([[wid[w] for w in s] for s in unique], len(vocabulary), PAD)
+    grams = [features(w, buckets) for w in vocabulary]
+    # only buckets that occur are trained; all others stay at zero
+    seen = np.unique(np.fromiter((b for g in grams for b in g), dtype=np.int64))
+    place = dict(zip(seen.tolist(), range(len(seen))))
+    words = _Bag.of([[place[b] for b in g] for g in grams], len(seen))
+    bag = _Bag.of([[wid[w] for w in s] for s in unique], len(vocabulary), PAD)
     own = [np.array([sid[s] for s in ss]) for ss, _ in kept]
     label = np.array([y for _, y in kept])
     fold = np.arange(len(kept)) % folds
@@ -229,13 +247,20 @@ def fit(docs: list[tuple[str, float]], other_weight: float = 1.0, rounds: int =
             # a very frequent sentence counts no more than some, but keeps its ratio of votes
             weight /= np.maximum(1.0, weight.sum(axis=1, keepdims=True) / 50)
             weight[:, 1] *= POSITIVE * weight[:, 0].sum() / max(weight[:, 1].sum(), 1e-9)
-            fitted = _train(words, bag, weight.astype(np.float32), steps, dim, seed)
+            # sentences without weight, and words that only they have, move nothing
+            heavy = weight.sum(axis=1) > 0
+            own_words = np.unique(bag.columns[np.repeat(heavy, bag.sizes)])
+            mask = np.zeros(len(vocabulary), dtype=bool)
+            mask[own_words] = True
+            fitted = _train(words.only(mask), bag.only(heavy, own_words), weight[heavy].astype(np.float32), steps, dim, seed)
             z = bag.mean(words.mean(fitted[0])) @ fitted[1] + fitted[2]
             prob = 1.0 / (1.0 + np.exp(np.clip(z[:, 0] - z[:, 1], -60, 60)))
             if f < 0:
                 # models of the folds see less and dare less: not under half of what nine in ten abusive documents reach now
                 reach = [prob[ids].max() for ids, y, use in zip(own, label, used) if y and use]
-                return AbuseModel(*fitted, threshold=max(threshold, 0.5 * float(np.quantile(reach, 0.1))) if reach else 0.5)
+                table = np.zeros((buckets, dim), dtype=np.float32)
+                table[seen] = fitted[0]
+                return AbuseModel(table, *fitted[1:], threshold=max(threshold, 0.5 * float(np.quantile(reach, 0.1))) if reach else 0.5)
             for k in np.flatnonzero(fold == f):
                 judged[k] = prob[own[k]]
         # a sentence of an abusive document stays abusive if it stands out from nearly all sentences of the others
@@ -262,11 +287,11 @@ def _best_threshold(score: np.ndarray, label: np.ndarray, other_weight: float) -
     return float((score[order[k]] + low) / 2)
 
 
-def labelled_sample(documents: DataFrame, votes: DataFrame, max_abusive: int = MAX_ABUSIVE, max_others: int = MAX_OTHERS) -> tuple[list[tuple[str, float]], float]:
+def labelled_sample(documents: DataFrame, votes: DataFrame, max_abusive: int = MAX_ABUSIVE, max_others: int = MAX_OTHERS, max_chars: int = MAX_CHARS) -> tuple[list[tuple[str, float]], float]:
     """(text, share of abusive votes) of a bounded sample of the labelled documents, and how many each of the others stands for.
 
     Null votes don't count; documents with as many votes for as against are left out, and so are votes on documents that
-    don't exist. The sample takes the least hashes of the ids.
+    don't exist. The sample takes the least hashes of the ids; a document that would pass `max_chars` is left out whole.
     """
     share = votes.where("abusive is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("abusive").alias("share")).where("share <> 0.5")
     sizes = share.agg(F.count_if(F.col("share") > 0.5).alias("abusive"), F.count_if(F.col("share") < 0.5).alias("others")).first()
@@ -275,7 +300,17 @@ def labelled_sample(documents: DataFrame, votes: DataFrame, max_abusive: int = M
     # ids that hash under a bar first, so that no task sends more than its share of the bounded sample
     bar = lambda n, of: F.lit(int(min(1.0, 1.2 * n / max(1, of)) * (1 << 30)))
     drawn = [share.where(c & (h < bar(n, of))).orderBy(h, "doc_id").limit(n) for c, n, of in ((F.col("share") > 0.5, max_abusive, sizes["abusive"]), (F.col("share") < 0.5, max_others, n_others))]
-    rows = documents.select("doc_id", "text").where("text <> ''").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").select("doc_id", "text", "share").collect()
+    texts = documents.select("doc_id", "text").where("text <> ''")
+    chosen = drawn[0].unionByName(drawn[1])
+    # lengths first, of the bounded sample alone; a text comes to the driver only within the bound on all of them
+    sizes_ = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", h.alias("h"), F.length("text").alias("n")).collect()
+    kept, total = set(), 0
+    for r in sorted(sizes_, key=lambda r: (r["h"], r["doc_id"], r["n"])):
+        if total + r["n"] <= max_chars:
+            kept.add(r["doc_id"])
+            total += r["n"]
+    ids = documents.sparkSession.createDataFrame([(k,) for k in sorted(kept)], "doc_id long")
+    rows = texts.join(F.broadcast(chosen.join(F.broadcast(ids), "doc_id")), "doc_id").select("doc_id", "text", "share").collect() if kept else []
     taken = [(r["text"], r["share"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
     return taken, n_others / max(1, min(n_others, max_others))
 

@@ -52,6 +52,9 @@ def test_frame(spark):
     taken, weight = labelled_sample(d, votes)
     assert len(taken) == 120 and weight == 1.0
     assert len(labelled_sample(d, votes, 10, 15)[0]) <= 25
+    few = labelled_sample(d, votes, max_chars=2000)[0]
+    assert 0 < sum(len(t) for t, _ in few) <= 2000 and all(t in {x for x, _ in docs} for t, _ in few)
+    assert labelled_sample(d, votes, max_chars=10)[0] == []
     scored = score_documents(d, fit(taken, weight), "source")
     got = {r["doc_id"]: r for r in scored.collect()}
     assert len(got) == 122 and got[900]["score"] == 0 and not got[901]["abusive"]
