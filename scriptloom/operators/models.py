@@ -205,6 +205,59 @@ def grid_search(df: DataFrame, family: str, task: str, features: Sequence[str],
     return best, df.sparkSession.createDataFrame([(str(sorted(p.items())), float(m)) for p, m in rows], "params string, score double")
 
 
+#: Families by tier, each with the grid that is searched for it.
+TIERS: dict[str, dict[str, dict[str, Sequence]]] = {
+    "primary": {"linear": {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}, "random_forest": {"numTrees": [50], "maxDepth": [3, 5]}, "boosted_trees": {"maxIter": [20], "maxDepth": [2, 3]}},
+    "secondary": {"linear_svm": {"regParam": [0.01, 0.1]}},
+}
+
+
+def grid_size(family: str) -> int:
+    """Points of the grid of a family; KeyError for an unknown one."""
+    grid = next(t[family] for t in TIERS.values() if family in t) if any(family in t for t in TIERS.values()) else {}[family]
+    return math.prod(len(v) for v in grid.values())
+
+
+def family_metrics(scored: DataFrame, task: str) -> DataFrame:
+    """(metric, value) of (label, score): auc, f1, log_loss and brier, or rmse, mae and cvrmse; metrics without a value are left out."""
+    from . import metrics as m
+    from .reports import unpivot
+
+    if task == "regression":
+        wide, names = m.regression_metrics(scored, "label", "score"), ["rmse", "mae", "cvrmse"]
+    else:
+        wide, names = m.threshold_metrics(scored, "label", "score").join(F.broadcast(m.ranking_metrics(scored, "label", "score"))), ["auc", "average_precision", "f1", "log_loss", "brier"]
+    return unpivot(wide, [], names).where(F.col("value").isNotNull())
+
+
+def evaluate_family(df: DataFrame, key: str, family: str, task: str, features: Sequence[str], grid: dict[str, Sequence] | None = None, folds: int = 5, repeats: int = 1) -> tuple[DataFrame, DataFrame, dict]:
+    """(out-of-fold scores, metrics, best parameters) of one family on one target (`label`).
+
+    The grid is searched over folds of a hash of the key; the best point is then scored out of fold by other hashes, and fitted
+    on all rows for the metrics of training. Metrics: (family, eval_set in oof_global and train, metric, value).
+    """
+    df = cut(df.select(key, *features, "label"))
+    best: dict = {}
+    if grid:
+        best = grid_search(df.withColumn("fold", fold_of(key, folds, 100)), family, task, features, grid, folds)[0]
+    pipe = build_pipeline(family, task, features, **best)
+    oof = cut(out_of_fold(df, key, pipe, task, folds, repeats))
+    fitted = pipe.fit(df).transform(df)
+    train = fitted.select("label", score_of(fitted.columns, task).alias("score"))
+    parts = [family_metrics(d, task).select(F.lit(family).alias("family"), F.lit(e).alias("eval_set"), "metric", "value") for e, d in (("oof_global", oof), ("train", train))]
+    return oof, parts[0].unionByName(parts[1]), best
+
+
+def benchmark(df: DataFrame, key: str, task: str, matrices: dict[str, Sequence[str]], families: dict[str, dict[str, Sequence]], target: str, tier: str = "primary", folds: int = 5) -> DataFrame:
+    """(matrix, family, target, tier, eval_set, metric, value) of every family on every named set of features; `winner` reads it."""
+    out = None
+    for matrix, features in matrices.items():
+        for family, grid in families.items():
+            part = evaluate_family(df, key, family, task, features, grid, folds)[1].select(F.lit(matrix).alias("matrix"), "family", F.lit(target).alias("target"), F.lit(tier).alias("tier"), "eval_set", "metric", "value")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def correlated_t(diff: Sequence[float], rope: float, test_share: float = 0.2) -> tuple[float, float, float]:
     """Posterior chances that the first is worse, as good within the rope, and better, from paired fold differences."""
     n = len(diff)

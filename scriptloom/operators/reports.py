@@ -95,3 +95,29 @@ def layered_report(films: DataFrame, scores: DataFrame, sets: DataFrame, attribu
 def numbered_places(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows with their place (a top-k report): the limit comes first, so only k rows are numbered."""
     return df.orderBy(*order).limit(k).withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
+def winner(cells: DataFrame, target: str, metric: str, minimised: bool, simple: str = "standalone", evaluated: str = "oof_global", tier: str = "primary") -> DataFrame:
+    """The best cell (matrix, family, value) of a long table of benchmark metrics (target, metric, eval_set, tier, matrix, family, value).
+
+    Equal values go to a matrix whose name begins with `simple`, then by name. Null and NaN values don't count; no row without any.
+    """
+    rows = cells.where((F.col("target") == target) & (F.col("metric") == metric) & (F.col("eval_set") == evaluated) & (F.col("tier") == tier) & F.col("value").isNotNull() & ~F.isnan("value"))
+    signed = F.col("value") if minimised else -F.col("value")
+    order = F.struct(signed, (~F.col("matrix").startswith(simple)).alias("s"), "matrix", "family")
+    return rows.agg(F.min_by(F.struct("matrix", "family", "value"), order).alias("b")).select("b.*").where("matrix is not null")
+
+
+def fold_gap(rows: DataFrame, keys: Sequence[str], minimised: Sequence[str] = ()) -> DataFrame:
+    """(keys, metric, train, oof, gap) of a long table (keys, metric, eval_set in train and oof, value): how much better training
+    looks than held-out folds, positive where it does."""
+    wide = rows.groupBy(*keys, "metric").agg(*[F.avg(F.when(F.col("eval_set") == e, F.col("value"))).alias(e) for e in ("train", "oof")])
+    gap = F.when(F.col("metric").isin(*minimised), F.col("oof") - F.col("train")).otherwise(F.col("train") - F.col("oof"))
+    return wide.withColumn("gap", gap)
+
+
+def markdown_table(df: DataFrame, order: Sequence[Column], k: int = 20, digits: int = 3) -> str:
+    """The first k rows as a Markdown table (a top-k report: only k rows come to the driver). Nulls are empty, bars in texts escaped."""
+    show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in df.orderBy(*order).limit(k).collect()]) + "\n"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attribution, calibration, metrics, models, reports, stats
 from ..session import table
+from ..sources import readers
 from .base import FILMS_SQL, SCORED_SQL, films, scored_films
 from .model_queries import _COEF, _training
 from .registry import Registry
@@ -134,3 +135,41 @@ def percent_errors(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     version = lambda n: li.where(F.col("l_linenumber") == n).groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").cast("double").alias("n"), F.sum("l_quantity").alias("q"))
     return reports.percent_errors(version(1), version(2), "k", ["n", "q"]).select("k", "metric", F.round("pct", 4).alias("pct"))
+
+
+_CELLS = f"""with {SCORED_SQL}, b as (select genre as family, avg((p - y) ** 2) as v from scored group by 1), cells as (select family, m as matrix, round(v, 1) as value from b, (values ('all_five'), ('standalone_x')) as t(m))"""
+
+
+@query(_CELLS + " select matrix, family, value from cells order by value, matrix not like 'standalone%', matrix, family limit 1")
+def benchmark_winner(spark: SparkSession, d: str) -> DataFrame:
+    """The best cell by rounded errors of genres, with ties that the rule has to settle."""
+    b = scored_films(spark, d).groupBy(F.col("genre").alias("family")).agg(F.round(F.avg(F.pow(F.col("p") - F.col("y"), 2)), 1).alias("value"))
+    cells = b.select("family", "value", F.explode(F.array(F.lit("all_five"), F.lit("standalone_x"))).alias("matrix"), F.lit("brier").alias("metric"), F.lit("t").alias("target"), F.lit("oof_global").alias("eval_set"), F.lit("primary").alias("tier"))
+    return reports.winner(cells, "t", "brier", minimised=True)
+
+
+@query(f"with {SCORED_SQL} select genre, 'brier' as metric, round(avg(case when y = 1 then (p - y) ** 2 end), 6) as train, round(avg(case when y = 0 then (p - y) ** 2 end), 6) as oof, round(avg(case when y = 0 then (p - y) ** 2 end) - avg(case when y = 1 then (p - y) ** 2 end), 6) as gap from scored group by 1")
+def train_oof_gap(spark: SparkSession, d: str) -> DataFrame:
+    """The gap between two sets of errors of each genre."""
+    rows = scored_films(spark, d).select("genre", F.lit("brier").alias("metric"), F.when(F.col("y") == 1, "train").otherwise("oof").alias("eval_set"), F.pow(F.col("p") - F.col("y"), 2).alias("value"))
+    return reports.fold_gap(rows, ["genre"], ["brier"]).select("genre", "metric", *[F.round(c, 6).alias(c) for c in ("train", "oof", "gap")])
+
+
+@query()
+def benchmark_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of two families on two sets of features, searched, scored out of fold and on training rows."""
+    families = {"linear": {"regParam": [0.0, 0.1]}, "random_forest": {"numTrees": [10], "maxDepth": [3]}}
+    return models.benchmark(_training(spark, d), "imdb_id", "classification", {"standalone_money": ["budget", "runtime"], "all": ["budget", "runtime", "vote_average", "popularity"]}, families, "label", folds=3)
+
+
+@query(
+    """with r as (select imdb_id, budget, revenue, id % 3 as k from ratings) select imdb_id, max(case when k <> 1 then budget end) as budget, max(case when k <> 2 then revenue end) as revenue from r where imdb_id is not null group by 1"""
+)
+def lookup_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Remote answers in JSON, written from the ratings with some amounts in another currency, read again: the largest amount of each id."""
+    r = table(spark, d, "ratings")
+    value = lambda c: F.when(c.isNotNull(), F.struct(c.cast("string").alias("value")))
+    unit = lambda k: F.struct(F.when(F.col("id") % 3 == k, "http://www.wikidata.org/entity/Q4916").otherwise(readers.US_DOLLAR).alias("value"))
+    binding = F.struct(value(F.col("imdb_id")).alias("imdb"), value(F.col("budget")).alias("cost"), unit(1).alias("costUnit"), value(F.col("revenue")).alias("revenue"), unit(2).alias("revenueUnit"))
+    answers = r.select(F.to_json(F.struct(F.struct(F.array(binding).alias("bindings")).alias("results"))).alias("body"))
+    return readers.largest_per_id(readers.answer_rows(answers, "body"))

@@ -89,6 +89,35 @@ def value_query(ids: Sequence[str]) -> str:
     )
 
 
+US_DOLLAR = "http://www.wikidata.org/entity/Q4917"
+#: A SPARQL answer in JSON, as far as it is read.
+_VALUE = "struct<value:string>"
+ANSWER = f"struct<results:struct<bindings:array<struct<imdb:{_VALUE},cost:{_VALUE},costUnit:{_VALUE},revenue:{_VALUE},revenueUnit:{_VALUE}>>>>"
+
+
+def answer_rows(answers: DataFrame, body: str, unit: str = US_DOLLAR) -> DataFrame:
+    """(imdb_id, budget, revenue): one row per binding of SPARQL answers in JSON. Amounts in another unit than `unit` and texts that
+    are no numbers are null; answers that aren't valid JSON give no rows."""
+    b = answers.select(F.explode(F.from_json(body, ANSWER)["results"]["bindings"]).alias("b"))
+    amount = lambda n: F.when(F.col(f"b.{n}Unit.value") == unit, F.col(f"b.{n}.value").try_cast("double"))
+    return b.select(F.col("b.imdb.value").alias("imdb_id"), amount("cost").alias("budget"), amount("revenue").alias("revenue"))
+
+
+def largest_per_id(rows: DataFrame) -> DataFrame:
+    """One row per id with the largest budget and revenue of its statements; null ids are left out."""
+    return rows.where("imdb_id is not null").groupBy("imdb_id").agg(F.max("budget").alias("budget"), F.max("revenue").alias("revenue"))
+
+
+def value_queries(ids: DataFrame, key: str = "imdb_id", batch: int = 200) -> DataFrame:
+    """(batch, query): SPARQL texts for all well-formed ids, each of about `batch` of them, for a client to send; ids are spread by hash."""
+    good = ids.select(key).where(F.col(key).rlike(IMDB_ID)).distinct()
+    n = F.greatest(F.lit(1), F.ceil(F.col("__n") / batch))
+    placed = good.join(F.broadcast(good.agg(F.count("*").alias("__n")))).withColumn("batch", F.pmod(F.xxhash64(key), n).cast("int"))
+    head, tail = value_query([]).split("{  }")
+    quoted = F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda i: F.concat(F.lit('"'), i, F.lit('"'))), " ")
+    return placed.groupBy("batch").agg(F.concat(F.lit(head + "{ "), quoted, F.lit(" }" + tail)).alias("query"))
+
+
 class RecordedLookup(DataSource):
     """`spark.read.format("recorded_lookup")`: look-ups answered from a recorded JSON-lines table, for use where the network is absent.
 
