@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from json.decoder import scanstring
+from json.decoder import JSONDecoder, scanstring
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,19 +38,39 @@ _SPACE = re.compile(r"[ \t\n\r]*")
 _SCALAR = re.compile(r"(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)(?![A-Za-z0-9_.+\-])")
 
 
-class Text(str):
-    """A string value; other scalars are plain `str` of their JSON notation (a number is never rounded), null is None."""
+class Number(str):
+    """A number as it is written, so it is never rounded. Strings are plain `str`, booleans and null as in Python."""
 
 
-def _scalar_at(text: str, at: int) -> tuple[str | None, int]:
+_NAMED = {"null": None, "true": True, "false": False}
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(name)
+
+
+_scan = JSONDecoder(parse_int=Number, parse_float=Number, parse_constant=_refuse).scan_once
+
+
+def value_at(text: str, at: int) -> tuple[object, int]:
+    """The value that begins at a place, and where it ends: by the library's scanner, or, where that would nest too deep for it, by the
+    explicit stack of `tree_at`, which gives the same."""
+    try:
+        return _scan(text, at)
+    except RecursionError:
+        return tree_at(text, at)
+    except StopIteration as e:
+        raise ValueError(at) from e
+
+
+def _scalar_at(text: str, at: int) -> tuple[str | bool | None, int]:
     """A string, number, boolean or null, and where it ends."""
     if text[at] == '"':
-        value, at = scanstring(text, at + 1, True)
-        return Text(value), at
+        return scanstring(text, at + 1, True)
     found = _SCALAR.match(text, at)
     if not found:
         raise ValueError(at)
-    return (None if found[0] == "null" else found[0]), found.end()
+    return _NAMED[found[0]] if found[0] in _NAMED else Number(found[0]), found.end()
 
 
 def _key_at(text: str, at: int) -> tuple[str, int]:
@@ -114,14 +134,16 @@ def loads(text: str | None) -> dict | list | None:
         at = _SPACE.match(text, 0).end() if text else 0
         if not text or text[at] not in "[{":
             return None
-        value, at = tree_at(text, at)
+        value, at = value_at(text, at)
         return value if _SPACE.match(text, at).end() == len(text) else None
     except (IndexError, ValueError):
         return None
 
 
-def _text(value: str) -> str:
-    """A leaf as text; halves of surrogate pairs, which JSON may escape but UTF-8 can't hold, become replacement characters."""
+def _text(value: str | bool) -> str:
+    """A leaf as text, numbers and booleans as JSON writes them; halves of surrogate pairs, which JSON may escape but UTF-8 can't hold, become replacement characters."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
     return str(value) if value.isascii() else value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
@@ -142,7 +164,7 @@ class _Reader:
         self.out.append((_text(path), None, len(self.units) - 1, 0))
         return len(self.units) - 1
 
-    def leaf(self, path: str, value: str | None, scene: int, unit: int) -> None:
+    def leaf(self, path: str, value: str | bool | None, scene: int, unit: int) -> None:
         if value is not None:
             self.out.append((_text(path), _text(value), scene, unit))
 
@@ -165,7 +187,7 @@ class _Reader:
 
     def dialogue(self, path: str, value: object, scene: int) -> None:
         """The units of a tree below `dialogue_units`, in reading order."""
-        if isinstance(value, Text) and (opened := _opened(value)) is not None:
+        if type(value) is str and (opened := _opened(value)) is not None:
             value = opened
         todo = [(path, value)]
         while todo:
@@ -176,11 +198,11 @@ class _Reader:
                 else:
                     todo += [(f"{at}.{k}", x) for k, x in reversed(v.items()) if isinstance(x, dict | list)]
             elif isinstance(v, list):
-                if 1 <= len(v) <= 2 and any(isinstance(x, Text) for x in v) and all(x is None or isinstance(x, Text) for x in v):
+                if 1 <= len(v) <= 2 and any(type(x) is str for x in v) and all(x is None or type(x) is str for x in v):
                     self.unit(at, {SPEAKER: v[0], TEXT: v[1]} if len(v) == 2 else {TEXT: v[0]}, scene)
                 else:
                     todo += [(at + "[]", x) for x in reversed(v)]
-            elif isinstance(v, Text):
+            elif type(v) is str:
                 self.unit(at, {TEXT: v}, scene)
 
     def read(self, text: str, path: str, kind: int) -> None:
@@ -207,7 +229,7 @@ class _Reader:
                 key, at = _key_at(text, at)
                 step = "." + key
                 if kind in (_SCENE, _WITHIN) and key in UNIT_LISTS:
-                    value, at = tree_at(text, at)
+                    value, at = value_at(text, at)
                     self.dialogue("".join(steps) + step, value, scene)
                     continue
                 scenes = kind in (_TOP, _SCENE) and key in SCENE_LISTS

@@ -5,7 +5,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scriptloom.operators.nested import flat_tables, loads, triples, unit_positions
+from scriptloom.operators.nested import flat_tables, loads, tree_at, triples, unit_positions
 
 
 def rows(spark):
@@ -73,7 +73,7 @@ def plain(value):
         return {k: plain(v) for k, v in value.items()}
     if isinstance(value, list):
         return [plain(v) for v in value]
-    return value if value is None or isinstance(value, str) else json.dumps(value)
+    return value if value is None or isinstance(value, str | bool) else json.dumps(value)
 
 
 @settings(max_examples=300, deadline=None)
@@ -82,6 +82,8 @@ def test_reads_what_json_reads(value, indent, cut):
     text = json.dumps(value, indent=1 if indent else None)
     assert loads(text) == (plain(value) if isinstance(value, dict | list) else None)
     assert (triples(text) is None) == (not isinstance(value, dict | list))
+    if isinstance(value, dict | list):
+        assert tree_at(text, 0) == (loads(text), len(text))
     part = text[:cut]
     try:
         ok = isinstance(json.loads(part), dict | list)
