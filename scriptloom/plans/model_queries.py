@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import attribution, calibration, metrics, models
 from ..operators.tree_attribution import tree_contributions
-from ..session import table
+from ..session import cut, table
 from .base import FILMS_SQL, SCORED_SQL, films, scored_films
 from .registry import Registry
 
@@ -263,7 +263,7 @@ _FEATURES = ["vote_average", "runtime", "popularity", "budget"]
 
 def _training(spark: SparkSession, d: str) -> DataFrame:
     f = films(spark, d, *_FEATURES, "revenue").where("budget > 0 and revenue > 0")
-    return f.select("imdb_id", *[F.col(c).cast("double") for c in _FEATURES], (F.col("revenue") > 2 * F.col("budget")).cast("double").alias("label")).cache()
+    return cut(f.select("imdb_id", *[F.col(c).cast("double") for c in _FEATURES], (F.col("revenue") > 2 * F.col("budget")).cast("double").alias("label")))
 
 
 @query()
@@ -277,7 +277,7 @@ def logistic_oof(spark: SparkSession, d: str) -> DataFrame:
 def stacking(spark: SparkSession, d: str) -> DataFrame:
     """A linear learner on the out-of-fold scores of two families."""
     rows = _training(spark, d)
-    base = {n: models.out_of_fold(rows, "imdb_id", models.build_pipeline(n, "classification", _FEATURES, **p), "classification", folds=2).cache() for n, p in (("linear", {"maxIter": 10}), ("random_forest", {"numTrees": 10}))}
+    base = {n: models.out_of_fold(rows, "imdb_id", models.build_pipeline(n, "classification", _FEATURES, **p), "classification", folds=2) for n, p in (("linear", {"maxIter": 10}), ("random_forest", {"numTrees": 10}))}
     return models.stack(base, "imdb_id", "classification", folds=2)
 
 
@@ -300,7 +300,7 @@ def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def platt_isotonic(spark: SparkSession, d: str) -> DataFrame:
     """Calibration error of three methods, each fitted on the other folds."""
-    s, out = scored_films(spark, d).cache(), None
+    s, out = cut(scored_films(spark, d)), None
     for m in ("none", "sigmoid", "isotonic"):
         c = calibration.cross_calibrated(s, "imdb_id", "p", "y", m, folds=3)
         part = metrics.calibration_error(metrics.reliability(c, "y", "calibrated")).select(F.lit(m).alias("method"), "ece", "mce")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attribution, calibration, metrics, models, reports, stats
-from ..session import table
+from ..session import cut, table
 from ..sources import readers
 from .base import FILMS_SQL, SCORED_SQL, films, scored_films
 from .model_queries import _COEF, _training
@@ -119,7 +119,7 @@ def grid_search(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def best_calibration(spark: SparkSession, d: str) -> DataFrame:
     """The calibration method with the least error."""
-    s, out = scored_films(spark, d).cache(), None
+    s, out = cut(scored_films(spark, d)), None
     for m in ("none", "sigmoid"):
         part = metrics.calibration_error(metrics.reliability(calibration.cross_calibrated(s, "imdb_id", "p", "y", m, folds=2), "y", "calibrated")).select(F.lit(m).alias("method"), "ece", "mce")
         out = part if out is None else out.unionByName(part)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions import text as tx
-from ..operators import graph, screenplay, sequence, vector
+from ..operators import graph, screenplay, sequence, valence, vector
 from ..operators.models import topics
 from ..operators.ranking import quantiles
 from ..session import table
@@ -443,3 +443,10 @@ def scene_headings(spark: SparkSession, d: str) -> DataFrame:
         "scene_id", tx.scene_heading(F.col("stage_direction"), F.col("scene_description"), F.col("dialogue_units")).alias("heading"), tx.action_text(F.col("stage_direction"), F.col("scene_description")).alias("action"),
         tx.chunk(F.col("scene_description"), 40).alias("head"), tx.chunk(F.col("scene_description"), 40, tail=True).alias("tail"),
     )
+
+
+@query()
+def valence_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Moments of the valence of each film's lines by lexicon and rules: negations, degrees, capitals, punctuation."""
+    lines = units(spark, d).where("trim(text) <> '' and imdb_id is not null").select("imdb_id", "text")
+    return sequence.series_aggregates(valence.with_valence(lines, "text", tx.VALENCE), "imdb_id", "valence")

@@ -118,6 +118,15 @@ def value_queries(ids: DataFrame, key: str = "imdb_id", batch: int = 200) -> Dat
     return placed.groupBy("batch").agg(F.concat(F.lit(head + "{ "), quoted, F.lit(" }" + tail)).alias("query"))
 
 
+def recorded_answers(recording: DataFrame, ids: DataFrame, key: str = "imdb_id") -> DataFrame:
+    """(key, budget, revenue, vote_average, status) of the requested ids from a recording of look-ups: a join, so neither side is held by
+    one machine. Zeros are missing; ids without a recorded answer get the status not_found, null ids none."""
+    asked = ids.select(key).where(F.col(key).isNotNull()).distinct()
+    held = recording.groupBy(key).agg(*[F.max(F.col(c).cast("double")).alias(c) for c in ("budget", "revenue", "vote_average")]).withColumn("__there", F.lit(True))
+    some = lambda c: F.when(F.col(c) != 0, F.col(c)).alias(c)
+    return asked.join(held, key, "left").select(key, some("budget"), some("revenue"), some("vote_average"), F.when(F.col("__there"), "ok").otherwise("not_found").alias("status"))
+
+
 class RecordedLookup(DataSource):
     """`spark.read.format("recorded_lookup")`: look-ups answered from a recorded JSON-lines table, for use where the network is absent.
 

@@ -140,3 +140,9 @@ def test_galleries_and_gaps(spark):
     rows = spark.createDataFrame([("f", "rmse", "train", 1.0), ("f", "rmse", "oof", 3.0), ("f", "auc", "train", 0.9)], "family string, metric string, eval_set string, value double")
     assert {r["metric"]: r["gap"] for r in reports.fold_gap(rows, ["family"], ["rmse"]).collect()} == {"rmse": 2.0, "auc": None}
     assert models.grid_size("random_forest") == 2
+
+
+def test_recorded_answers(spark):
+    held = spark.createDataFrame([("a", 5.0, 0.0, None), ("a", 7.0, None, 1.0), (None, 1.0, 1.0, 1.0)], "imdb_id string, budget double, revenue double, vote_average double")
+    ids = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "imdb_id string")
+    assert sorted(tuple(r) for r in readers.recorded_answers(held, ids).collect()) == [("a", 7.0, None, 1.0, "ok"), ("b", None, None, None, "not_found")]
