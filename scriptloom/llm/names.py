@@ -131,6 +131,12 @@ def slip(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:]
 
 
+@lru_cache(1 << 16)
+def _organisation(word: str) -> str | None:
+    """The kind of organisation that a word, an abbreviation or a slip of a long one stands for."""
+    return _ORG.get(word) or (next((o for w, o in _ORG.items() if len(w) > 6 and slip(w, word)), None) if len(word) > 5 else None)
+
+
 def parse(speaker: str) -> dict:
     """Kind (person, org, other), parts (word, whether it is whole), title, initials of an organisation, and the key under which
     equal names meet."""
@@ -145,10 +151,7 @@ def parse(speaker: str) -> dict:
     if any(b.isdigit() for b in bare):
         return {"k": "other", "p": [], "eq": "n:" + " ".join(bare)}
 
-    def organisation(b: str) -> str | None:
-        return _ORG.get(b) or next((o for w, o in _ORG.items() if len(w) > 6 and slip(w, b)), None)
-
-    kinds = [organisation(b) for b in bare]
+    kinds = [_organisation(b) for b in bare]
     core = [b for b, k in zip(bare, kinds) if not k and b not in SMALL_WORDS]
     if any(kinds) and core:
         kind = next(k for k in reversed(kinds) if k)
@@ -442,32 +445,41 @@ def _uniter(formal: dict):  # noqa: ANN202
     return run
 
 
+_SCORED = "film string, y string, x string, full_x boolean, formals_x array<string>, titles_x array<string>, full_y boolean, formals_y array<string>, titles_y array<string>, raw double"
+
+
 def _scorer(formal: dict):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         load = lru_cache(1 << 15)(json.loads)
         score = lru_cache(1 << 16)(lambda a, b: profile_score(load(a), load(b), formal))
         for pdf in batches:
             out = pdf.drop(columns=["fx", "fy"])
-            out["score"] = [score(x, y) for x, y in zip(pdf["fx"], pdf["fy"])]
-            yield out[out["score"] != 0]
+            out["raw"] = [score(x, y) for x, y in zip(pdf["fx"], pdf["fy"])]
+            yield out
 
     return run
 
 
-def _round(entities: DataFrame, formal: dict) -> DataFrame:
-    """Accepted links (film, x, y) of one round."""
-    own = entities.select("film", "ent", F.explode("keys").alias("key"))
-    x = own.select("film", "key", F.col("ent").alias("x"))
-    y = own.select("film", "key", F.col("ent").alias("y"))
-    pairs = x.join(y, ["film", "key"]).where("x < y").select("film", "x", "y").distinct()
+def _scores(entities: DataFrame, old: DataFrame | None, formal: dict) -> DataFrame:
+    """The score of every pair of a film that shares a block, as rows of _SCORED. Only pairs with an entity that is `fresh` are scored;
+    the others keep the score of the round before."""
+    own = entities.select("film", "ent", "fresh", F.explode("keys").alias("key"))
+    x = own.select("film", "key", F.col("ent").alias("x"), F.col("fresh").alias("fresh_x"))
+    y = own.select("film", "key", F.col("ent").alias("y"), F.col("fresh").alias("fresh_y"))
+    pairs = x.join(y, ["film", "key"]).where("x < y and (fresh_x or fresh_y)").select("film", "x", "y").distinct()
     side = lambda n: entities.select("film", F.col("ent").alias(n), F.col("profiles").alias("f" + n), F.col("is_full").alias("full_" + n), F.col("formals").alias("formals_" + n), F.col("titles").alias("titles_" + n))
-    both = pairs.join(side("x"), ["film", "x"]).join(side("y"), ["film", "y"])
-    scored = both.mapInPandas(
-        _scorer(formal),
-        "film string, y string, x string, full_x boolean, formals_x array<string>, titles_x array<string>, full_y boolean, formals_y array<string>, titles_y array<string>, score double",
-    )
-    apart_pairs = scored.where("score < 0").select("film", F.col("x").alias("y1"), F.col("y").alias("y2"))
-    scored = scored.where("score > 0").withColumn("score", F.round("score", 3) + F.when(F.arrays_overlap("titles_x", "titles_y"), 0.5).otherwise(0.0))
+    new = pairs.join(side("x"), ["film", "x"]).join(side("y"), ["film", "y"]).mapInPandas(_scorer(formal), _SCORED).where("raw <> 0")
+    if old is None:
+        return new
+    steady = entities.where("not fresh").select("film", "ent")
+    kept = old.join(steady.withColumnRenamed("ent", "x"), ["film", "x"], "left_semi").join(steady.withColumnRenamed("ent", "y"), ["film", "y"], "left_semi")
+    return new.unionByName(kept)
+
+
+def _links(scored: DataFrame) -> DataFrame:
+    """Accepted links (film, x, y) of one round."""
+    apart_pairs = scored.where("raw < 0").select("film", F.col("x").alias("y1"), F.col("y").alias("y2"))
+    scored = scored.where("raw > 0").withColumn("score", F.round("raw", 3) + F.when(F.arrays_overlap("titles_x", "titles_y"), 0.5).otherwise(0.0)).drop("raw")
     # an initial that one of them took over must not link two people whose given names are known and differ
     named = F.col("full_x") & F.col("full_y") & (F.size("formals_x") > 0) & (F.size("formals_y") > 0)
     scored = scored.where(~named | F.arrays_overlap("formals_x", "formals_y"))
@@ -532,17 +544,25 @@ def resolve_names(units: DataFrame, film: str, speaker: str, nicknames: str = NI
     formal = FORMAL if nicknames is NICKNAMES else formal_names(nicknames)
     names = units.select(F.col(film).alias("film"), F.col(speaker).alias("speaker")).where("film is not null and speaker <> ''").groupBy("film", "speaker").agg(F.count("*").alias("n")).select("film", "speaker")
     parsed = cut(names.mapInPandas(_parser(formal), PARSED))
-    entities, settled = cut(_merge(_single(parsed), "eq", formal)), None
-    while not (links := cut(_round(entities, formal))).isEmpty():
-        # a film without a merge can't change any more; the others enter their blocks again as a whole
+    entities, settled, scored = cut(_merge(_single(parsed), "eq", formal).withColumn("fresh", F.lit(True))), None, None
+    while True:
+        scored = cut(_scores(entities, scored, formal))
+        links = cut(_links(scored))
+        if links.isEmpty():
+            break
+        # a film without a merge can't change any more; in the others merged profiles enter their blocks again
         films = links.select("film").distinct()
         done = entities.join(films, "film", "left_anti")
         settled = done if settled is None else settled.unionByName(done)
-        # each entity joins the least partner it is linked to; longer chains close in the next rounds
-        to = links.groupBy("film", F.col("y").alias("ent")).agg(F.min("x").alias("to"))
-        moved = entities.join(films, "film", "left_semi").join(to, ["film", "ent"], "left").withColumn("to", F.coalesce("to", "ent"))
-        entities = cut(_merge(moved, "to", formal))
-    entities = entities if settled is None else entities.unionByName(settled)
+        # each entity joins the least partner it is linked to, or that one's, or the next one's; longer chains close in the next rounds
+        step = links.groupBy("film", F.col("y").alias("ent")).agg(F.min("x").alias("to"))
+        hop = lambda t: t.join(step.select("film", F.col("ent").alias("to"), F.col("to").alias("next")), ["film", "to"], "left").select("film", "ent", F.coalesce("next", "to").alias("to"))
+        to = cut(hop(hop(step)))
+        moved = to.unionByName(to.select("film", F.col("to").alias("ent"), "to").distinct().join(to.select("film", "ent"), ["film", "ent"], "left_anti"))
+        merged = _merge(entities.join(moved, ["film", "ent"]), "to", formal).withColumn("fresh", F.lit(True))
+        still = entities.join(films, "film", "left_semi").join(moved, ["film", "ent"], "left_anti").withColumn("fresh", F.lit(False))
+        entities = cut(merged.unionByName(still.select(merged.columns)))
+    entities = entities if settled is None else entities.unionByName(settled.select(entities.columns))
     return entities.select("film", F.explode("spellings").alias("speaker"), F.col("ent").alias("entity"), F.size("spellings").alias("n_spellings"))
 
 

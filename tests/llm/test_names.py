@@ -162,3 +162,13 @@ def test_held_out_names(spark):
     assert len(true) > 500
     assert len(found & true) >= 0.9 * len(true), sorted(true - found)[:20]
     assert len(found & true) >= 0.9 * len(found), sorted(found - true)[:20]
+
+
+def test_long_chains_close(spark):
+    """Each spelling fits only its neighbours; every spelling comes out once, in one entity."""
+    base, chain = "ABCDEFGHIJKLMNOPQRST", []
+    for i in range(18):
+        chain.append("OTTOKAR " + "Z" * i + base[i:])
+    df = spark.createDataFrame([("f", s) for s in chain] + [("g", chain[0])], "imdb_id string, speaker string")
+    got = resolve_names(df, "imdb_id", "speaker").collect()
+    assert len(got) == 19 and {r["n_spellings"] for r in got if r["film"] == "f"} == {18}
