@@ -89,6 +89,7 @@ def value_query(ids: Sequence[str]) -> str:
     )
 
 
+# Fixed value: the unit of amounts that count.
 US_DOLLAR = "http://www.wikidata.org/entity/Q4917"
 #: A SPARQL answer in JSON, as far as it is read.
 _VALUE = "struct<value:string>"
