@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 # Titles and organisation words with their abbreviations; given names with their nicknames, common ones of English
-# and some of other languages. A parameter: `nicknames` of `resolve_names` takes another table in the same form.
+# and some of other languages. Nicknames that are only the beginning of the name are left to
+# a rule. A parameter: `nicknames` of `resolve_names` takes another table in the same form.
 TITLES = """
 AGENT; CAPTAIN CAPT CPT; COLONEL COL; CONSTABLE PC; CORPORAL CPL; DETECTIVE DET; DOCTOR DR; FATHER FR; GENERAL GEN;
 INSPECTOR INSP; JUDGE; LADY; LIEUTENANT LT LIEUT; LORD; MAJOR MAJ; MISS; MISTER MR; MRS; MS; OFFICER OFC; PRESIDENT PRES;
@@ -52,32 +53,32 @@ COUNCIL; DEPARTMENT DEPT; DISPATCH DISP; FOUNDATION FDN; HOSPITAL HOSP; INCORPOR
 MINISTRY MIN; RADIO; SCHOOL SCH; SOCIETY SOC; TELEVISION TV; UNIVERSITY UNIV
 """
 NICKNAMES = """
-AARON RON RONNIE; ABIGAIL ABBY GAIL; ABRAHAM ABE BRAM; ADAM; ADELAIDE ADDIE HEIDI; AGNES AGGIE NESSIE; ALAN AL; ALBERT AL BERT BERTIE;
+AARON RON RONNIE; ABIGAIL ABBY GAIL; ABRAHAM ABE BRAM; ADELAIDE ADDIE HEIDI; AGNES AGGIE NESSIE; ALAN AL; ALBERT AL BERT BERTIE;
 ALEJANDRO ALEX JANDRO; ALEXANDER ALEX SANDY SASHA LEX XANDER; ALEXANDRA ALEX SANDRA LEXI SASHA; ALFRED AL ALF ALFIE FRED; ALICE ALLIE;
 AMANDA MANDY; AMELIA AMY MILLIE; ANASTASIA ANA STACY NASTYA; ANDRE DEDE; ANDREA ANDIE DREA; ANDREW ANDY DREW; ANGELA ANGIE; ANNA ANNIE NAN NANCY;
 ANTHONY TONY ANT; ANTONIO TONI TONIO TOÑO; ARCHIBALD ARCHIE; ARTHUR ART ARTIE; AUGUSTUS GUS AUGIE; BARBARA BARB BABS BARBIE; BARTHOLOMEW BART;
-BEATRICE BEA TRIXIE; BENJAMIN BEN BENNY BENJI; BERNARD BERNIE; BRADLEY BRAD; BRIDGET BIDDY BRIDIE; CALVIN CAL; CAMERON CAM; CAROLINE CARRIE CARO;
+BEATRICE BEA TRIXIE; BENJAMIN BEN BENNY BENJI; BERNARD BERNIE; BRIDGET BIDDY BRIDIE; CAROLINE CARRIE CARO;
 CATHERINE CATHY CATE KATE KATIE KIT; CECILIA CISSY CECE; CHARLES CHARLIE CHUCK CHAS CHAZ; CHARLOTTE LOTTIE CHARLIE; CHRISTINA TINA CHRISSIE CHRIS;
-CHRISTOPHER CHRIS KIT TOPHER; CLARENCE CLARRY; CLIFFORD CLIFF; CONSTANCE CONNIE; CORNELIUS CON NEIL; CYNTHIA CINDY; DANIEL DAN DANNY;
+CHRISTOPHER CHRIS KIT TOPHER; CLARENCE CLARRY; CONSTANCE CONNIE; CORNELIUS CON NEIL; CYNTHIA CINDY; DANIEL DAN DANNY;
 DANIELLE DANI ELLE; DAVID DAVE DAVEY; DEBORAH DEB DEBBIE; DENNIS DEN DENNY; DMITRI DIMA MITYA; DOLORES LOLA LOLITA; DOMINIC DOM NICK; DONALD DON DONNIE;
-DOROTHY DOT DOLLY DOTTIE DORA; DOUGLAS DOUG; EDMUND ED NED TED; EDWARD ED EDDIE NED TED TEDDY; EDWIN ED EDDIE WIN; ELEANOR ELLIE NELL NORA;
+DOROTHY DOT DOLLY DOTTIE DORA; EDMUND ED NED TED; EDWARD ED EDDIE NED TED TEDDY; EDWIN ED EDDIE WIN; ELEANOR ELLIE NELL NORA;
 ELENA LENOCHKA NELYA; HELENA LENA; MAGDALENA LENA MAGDA; ELIZABETH LIZ BETH BETTY LIZZIE ELIZA BESS LIBBY; EMILY EM MILLY; EMMANUEL MANNY; ERIC RICK; ERNEST ERNIE; EUGENE GENE; EVELYN EVIE;
 EZEKIEL ZEKE; FLORENCE FLO FLOSSIE; FRANCES FRAN FANNY FRANKIE; FRANCIS FRANK FRANKIE; FRANCISCO PACO PANCHO FRAN KIKO; FREDERICK FRED FREDDIE FRITZ;
 GABRIEL GABE; GABRIELLE GABBY ELLE; GEOFFREY GEOFF JEFF; GEORGE GEORDIE; GERALD GERRY JERRY; GERTRUDE GERTIE TRUDY; GILBERT GIL BERT;
-GIOVANNI GIANNI NINO VANNI; GIUSEPPE BEPPE PEPPE PEPPINO; GREGORY GREG; GUILLERMO MEMO; GWENDOLYN GWEN; HARRIET HATTIE; HAROLD HAL HARRY;
+GIOVANNI GIANNI NINO VANNI; GIUSEPPE BEPPE PEPPE PEPPINO; GREGORY GREG; GUILLERMO MEMO; HARRIET HATTIE; HAROLD HAL HARRY;
 HELEN NELL NELLIE; HENRIETTA HETTIE ETTA; HENRY HARRY HANK HAL; HERBERT HERB BERT; HOWARD HOWIE; IGNACIO NACHO; ISAAC IKE ZAC; ISABELLA BELLA IZZY BELLE;
-JACOB JAKE; JACQUELINE JACKIE; JAMES JIM JIMMY JAMIE; JANET JAN; JEAN JEANNIE; JEFFREY JEFF; JENNIFER JEN JENNY; JEREMIAH JERRY; JESSICA JESS JESSIE;
+JACOB JAKE; JACQUELINE JACKIE; JAMES JIM JIMMY JAMIE; JANET JAN; JEAN JEANNIE; JENNIFER JEN JENNY; JEREMIAH JERRY; JESSICA JESS JESSIE;
 JESUS CHUY; JOAN JOANIE; JOANNA JO; JOHANNES HANS HANNES; JOHN JACK JOHNNY; JONATHAN JON JONNY; JOSE PEPE; JOSEPH JOE JOEY; JOSEPHINE JO JOSIE;
 JOSHUA JOSH; JUDITH JUDY; JULIA JULIE; KATHERINE KATE KATHY KIT KATIE KAY; KENNETH KEN KENNY; LAURA LAURIE; LAWRENCE LARRY LAURIE; LEONARD LEN LENNY LEO;
 LEOPOLD LEO POLDI; LESLIE LES; LILLIAN LIL LILY; LOUIS LOU LOUIE; LOUISE LOU LULU; LUCILLE LUCY; MADELEINE MADDIE; MARGARET MAGGIE MEG PEGGY MARGE MARGIE;
-MARIA MARIE MIA; MARTHA MARTY MATTIE; MARTIN MARTY; MARY MOLLY POLLY; MATILDA TILLY MATTIE; MATTHEW MATT; MAURICE MO MORRIE; MAXIMILIAN MAX;
+MARIA MARIE MIA; MARTHA MARTY MATTIE; MARTIN MARTY; MARY MOLLY POLLY; MATILDA TILLY MATTIE; MATTHEW MATT; MAURICE MO MORRIE; 
 MELISSA MEL LISSA; MICHAEL MIKE MICK MIKEY MICKEY; MIKHAIL MISHA; MILDRED MILLIE; MONTGOMERY MONTY; NATHANIEL NAT NATE; NICHOLAS NICK NICKY NICO;
-NIKOLAI KOLYA; OLENA LENA OLYA; OLIVER OLLIE; OLIVIA LIV LIVVY; OSCAR OZZIE; PAMELA PAM; PATRICIA PAT TRISH PATTY TRICIA; PATRICK PAT PADDY;
+NIKOLAI KOLYA; OLENA LENA OLYA; OLIVER OLLIE; OLIVIA LIV LIVVY; OSCAR OZZIE; PATRICIA PAT TRISH PATTY TRICIA; PATRICK PAT PADDY;
 PENELOPE PENNY; PERCIVAL PERCY; PETER PETE; PHILIP PHIL PIP; PHILIPPA PIPPA; RACHEL RAE; RAYMOND RAY; REBECCA BECKY BECCA; REGINALD REG REGGIE;
 RICHARD RICK RICHIE DICK RICH RICKY; ROBERT BOB BOBBY ROB ROBBIE BERT; RODERICK ROD RORY; ROGER ROD; RONALD RON RONNIE; ROSEMARY ROSE ROSIE;
 RUDOLPH RUDI; RUPERT BERT; SALVADOR SAL CHAVA; SAMANTHA SAM SAMMY; SAMUEL SAM SAMMY; SARAH SALLY SADIE; SEBASTIAN SEB BASTIAN; SERGEI SERYOZHA;
-SIDNEY SID; SOLOMON SOL; STANLEY STAN; STEPHANIE STEPH STEFFI; STEPHEN STEVE STEVIE; STEVEN STEVE STEVIE; STUART STU; SUSAN SUE SUSIE SUZY;
-SUSANNAH SUE SUSIE SANNA; TERENCE TERRY; THEODORE TED TEDDY THEO; THERESA TERRY TESS; THOMAS TOM TOMMY; TIMOTHY TIM TIMMY; TOBIAS TOBY; VALERIE VAL;
+STEPHANIE STEPH STEFFI; STEPHEN STEVE STEVIE; STEVEN STEVE STEVIE; SUSAN SUE SUSIE SUZY;
+SUSANNAH SUE SUSIE SANNA; TERENCE TERRY; THEODORE TED TEDDY THEO; THERESA TERRY TESS; THOMAS TOM TOMMY; TIMOTHY TIM TIMMY; TOBIAS TOBY; 
 VERONICA RONNIE VERA; VICTOR VIC; VICTORIA VICKY TORI VIC; VINCENT VINCE VINNIE; VIRGINIA GINNY; VLADIMIR VOVA VOLODYA; WALTER WALT WALLY;
 WILFRED WILF FRED; WILHELMINA MINA MINNIE; WILLIAM WILL BILL BILLY WILLIE LIAM; WINIFRED WINNIE FREDDIE; YEVGENY ZHENYA; ZACHARY ZACH ZACK
 """
