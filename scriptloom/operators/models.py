@@ -218,23 +218,25 @@ def grid_size(family: str) -> int:
     return math.prod(len(v) for v in grid.values())
 
 
-def family_metrics(scored: DataFrame, task: str) -> DataFrame:
-    """(metric, value) of (label, score): auc, f1, log_loss and brier, or rmse, mae and cvrmse; metrics without a value are left out."""
+def family_metrics(scored: DataFrame, task: str, group: Sequence[str] = ()) -> DataFrame:
+    """(group, metric, value) of (group, label, score): auc, f1, log_loss and brier, or rmse, mae and cvrmse; metrics without a value are left out."""
     from . import metrics as m
     from .reports import unpivot
 
+    keys = list(group)
     if task == "regression":
-        wide, names = m.regression_metrics(scored, "label", "score"), ["rmse", "mae", "cvrmse"]
+        wide, names = m.regression_metrics(scored, "label", "score", keys), ["rmse", "mae", "cvrmse"]
     else:
-        wide, names = m.threshold_metrics(scored, "label", "score").join(F.broadcast(m.ranking_metrics(scored, "label", "score"))), ["auc", "average_precision", "f1", "log_loss", "brier"]
-    return unpivot(wide, [], names).where(F.col("value").isNotNull())
+        losses, ranked = m.threshold_metrics(scored, "label", "score", keys), m.ranking_metrics(scored, "label", "score", keys)
+        wide, names = losses.join(ranked, keys, "left") if keys else losses.join(F.broadcast(ranked)), ["auc", "average_precision", "f1", "log_loss", "brier"]
+    return unpivot(wide, keys, names).where(F.col("value").isNotNull())
 
 
-def evaluate_family(df: DataFrame, key: str, family: str, task: str, features: Sequence[str], grid: dict[str, Sequence] | None = None, folds: int = 5, repeats: int = 1) -> tuple[DataFrame, DataFrame, dict]:
-    """(out-of-fold scores, metrics, best parameters) of one family on one target (`label`).
+def family_scores(df: DataFrame, key: str, family: str, task: str, features: Sequence[str], grid: dict[str, Sequence] | None = None, folds: int = 5, repeats: int = 1) -> tuple[DataFrame, DataFrame, dict]:
+    """(out-of-fold scores, (label, score) of training, best parameters) of one family on one target (`label`).
 
     The grid is searched over folds of a hash of the key; the best point is then scored out of fold by other hashes, and fitted
-    on all rows for the metrics of training. Metrics: (family, eval_set in oof_global and train, metric, value).
+    on all rows for the scores of training.
     """
     df = cut(df.select(key, *features, "label"))
     best: dict = {}
@@ -243,19 +245,34 @@ def evaluate_family(df: DataFrame, key: str, family: str, task: str, features: S
     pipe = build_pipeline(family, task, features, **best)
     oof = cut(out_of_fold(df, key, pipe, task, folds, repeats))
     fitted = pipe.fit(df).transform(df)
-    train = fitted.select("label", score_of(fitted.columns, task).alias("score"))
-    parts = [family_metrics(d, task).select(F.lit(family).alias("family"), F.lit(e).alias("eval_set"), "metric", "value") for e, d in (("oof_global", oof), ("train", train))]
-    return oof, parts[0].unionByName(parts[1]), best
+    return oof, cut(fitted.select("label", score_of(fitted.columns, task).alias("score"))), best
+
+
+def evaluate_family(df: DataFrame, key: str, family: str, task: str, features: Sequence[str], grid: dict[str, Sequence] | None = None, folds: int = 5, repeats: int = 1) -> tuple[DataFrame, DataFrame, dict]:
+    """(out-of-fold scores, metrics, best parameters) of `family_scores`. Metrics: (family, eval_set in oof_global and train, metric, value)."""
+    oof, train, best = family_scores(df, key, family, task, features, grid, folds, repeats)
+    scored = _marked(oof, eval_set="oof_global").unionByName(_marked(train, eval_set="train"))
+    return oof, family_metrics(scored, task, ["eval_set"]).select(F.lit(family).alias("family"), "eval_set", "metric", "value"), best
+
+
+def _marked(scores: DataFrame, **marks: str) -> DataFrame:
+    return scores.select(*[F.lit(v).alias(k) for k, v in marks.items()], "label", "score")
 
 
 def benchmark(df: DataFrame, key: str, task: str, matrices: dict[str, Sequence[str]], families: dict[str, dict[str, Sequence]], target: str, tier: str = "primary", folds: int = 5) -> DataFrame:
-    """(matrix, family, target, tier, eval_set, metric, value) of every family on every named set of features; `winner` reads it."""
+    """(matrix, family, target, tier, eval_set, metric, value) of every family on every named set of features; `winner` reads it.
+
+    The scores of all cells lie in the checkpoint folder, marked with their cell, so one plan measures them all, whatever their number.
+    """
     out = None
     for matrix, features in matrices.items():
         for family, grid in families.items():
-            part = evaluate_family(df, key, family, task, features, grid, folds)[1].select(F.lit(matrix).alias("matrix"), "family", F.lit(target).alias("target"), F.lit(tier).alias("tier"), "eval_set", "metric", "value")
-            out = part if out is None else out.unionByName(part)
-    return out
+            oof, train, _ = family_scores(df, key, family, task, features, grid, folds)
+            for eval_set, scores in (("oof_global", oof), ("train", train)):
+                part = _marked(scores, matrix=matrix, family=family, eval_set=eval_set)
+                out = part if out is None else out.unionByName(part)
+    cells = family_metrics(out, task, ["matrix", "family", "eval_set"])
+    return cells.select("matrix", "family", F.lit(target).alias("target"), F.lit(tier).alias("tier"), "eval_set", "metric", "value")
 
 
 def correlated_t(diff: Sequence[float], rope: float, test_share: float = 0.2) -> tuple[float, float, float]:

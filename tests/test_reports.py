@@ -38,3 +38,16 @@ def test_p_values(spark):
     df = spark.range(60).select((F.col("id") % 7).cast("double").alias("x"), F.col("id").cast("double").alias("y"), (F.col("id") % 2).cast("string").alias("g"), F.lit(1.0).alias("c"))
     got = {(r["variable"], r["test"]): r for r in stats.audit(df, ["x", "c"], ["g"], "y").collect()}
     assert 0 <= got["x", "pearson"]["p_value"] <= 1 and got["c", "pearson"]["stat"] is None and got["g", "eta_squared"]["flagged"] is False
+
+
+def test_benchmark_measures_all_cells_in_one_plan(spark):
+    df = spark.range(60).select(F.col("id").cast("string").alias("k"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("z"), (F.col("id") % 11).cast("double").alias("label"))
+    run = lambda matrices: models.benchmark(df, "k", "regression", matrices, {"linear": {}}, "t", folds=2)
+    one, two = run({"a": ["x"]}), run({"a": ["x"], "b": ["x", "z"]})
+    aggregates = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+    assert aggregates(one) == aggregates(two)
+    got = {(r["matrix"], r["eval_set"], r["metric"]): r["value"] for r in two.collect()}
+    assert len(got) == 12
+    for e in ("oof_global", "train"):
+        for r in models.evaluate_family(df, "k", "linear", "regression", ["x", "z"], folds=2)[1].where(F.col("eval_set") == e).collect():
+            assert got["b", e, r["metric"]] == pytest.approx(r["value"])
