@@ -122,3 +122,8 @@ def attribution_pairs(text: Column) -> Column:
     """`f=+0.1; g=-0.2` as an array of (name, value); damaged parts are left out."""
     parts = F.transform(F.split(text, ";"), lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("name"), F.substring_index(p, "=", -1).try_cast("double").alias("value")))
     return F.filter(parts, lambda p: p["value"].isNotNull() & (p["name"] != ""))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """`x` rounded as SQL rounds doubles: half away from zero of what the product with a power of ten comes to as a double."""
+    return F.round(x * 10.0**digits) / 10.0**digits

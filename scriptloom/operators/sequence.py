@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,10 +15,10 @@ from .stats import correlation
 ARCS = ("rise", "fall", "fall_rise", "rise_fall", "rise_fall_rise", "fall_rise_fall")
 
 
-def series_aggregates(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, n, mean, std, range, share_zero): population standard deviation; null values don't count."""
+def series_aggregates(df: DataFrame, group: str, value: str, mean: Column | None = None) -> DataFrame:
+    """(group, n, mean, std, range, share_zero): population standard deviation; null values don't count. `mean` is an aggregate to take for the plain one."""
     v = F.col(value)
-    return df.where(v.isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), (F.max(v) - F.min(v)).alias("range"), F.avg((v == 0).cast("double")).alias("share_zero"))
+    return df.where(v.isNotNull()).groupBy(group).agg(F.count("*").alias("n"), (F.avg(v) if mean is None else mean).alias("mean"), F.stddev_pop(v).alias("std"), (F.max(v) - F.min(v)).alias("range"), F.avg((v == 0).cast("double")).alias("share_zero"))
 
 
 def numbered(df: DataFrame, group: str, order: list[str], value: str, block: str | None = None) -> DataFrame:
@@ -39,11 +39,17 @@ def numbered(df: DataFrame, group: str, order: list[str], value: str, block: str
 
 
 def quartiles(seq: DataFrame, group: str) -> DataFrame:
-    """(group, q1..q4, std_range) of `numbered` rows: means of four runs, of which the first n % 4 are one longer, and the range of their population standard deviations. Null under four rows."""
+    """(group, q1..q4, std_range) of `numbered` rows: means of four runs, of which the first n % 4 are one longer, and the range of their population standard deviations. Null under four rows.
+
+    Each run is added up in its order, in a running window that streams through the sorted run, so that the last digit of a mean
+    depends neither on partitions nor on the order in which tasks end.
+    """
     size, rest = F.floor(F.col("n") / 4), F.col("n") % 4
     long_rows = rest * (size + 1)
     q = F.when(F.col("i") < long_rows, F.floor(F.col("i") / (size + 1))).otherwise(rest + F.floor(F.try_divide(F.col("i") - long_rows, size)))
-    per = seq.where("n >= 4").groupBy(group, q.alias("q")).agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    so_far = W.partitionBy(group, "q").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    added = seq.where("n >= 4").select(group, q.alias("q"), "i", "value").withColumn("__sum", F.sum("value").over(so_far))
+    per = added.groupBy(group, "q").agg((F.max_by("__sum", "i") / F.count("*")).alias("m"), F.stddev_pop("value").alias("s"))
     wide = per.groupBy(group).agg(*[F.max(F.when(F.col("q") == k, F.col("m"))).alias(f"q{k + 1}") for k in range(4)], (F.max("s") - F.min("s")).alias("std_range"))
     return seq.select(group).distinct().join(wide, group, "left")
 

@@ -139,8 +139,10 @@ def _line_scores(spark: SparkSession, d: str) -> DataFrame:
 @query(_LINE + " select imdb_id, count(*) as n, round(avg(s), 6) as mean, round(stddev_pop(s), 6) as std, round(max(s) - min(s), 6) as range, round(avg((s = 0)::int), 6) as share_zero from scored where imdb_id is not null group by 1")
 def sentiment_aggregates(spark: SparkSession, d: str) -> DataFrame:
     """Moments of the valence of the lines of each film."""
-    out = sequence.series_aggregates(_line_scores(spark, d).where("imdb_id is not null"), "imdb_id", "s")
-    return out.select("imdb_id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "range", "share_zero")])
+    # scores have six digits, so they are added up as whole millionths: a mean half way between two of them is rounded away from zero, whatever the order
+    rows = _line_scores(spark, d).where("imdb_id is not null").withColumn("s6", F.round(F.col("s") * 1e6).cast("long"))
+    out = sequence.series_aggregates(rows, "imdb_id", "s", F.round(F.sum("s6") / F.count("s6")) / 1e6)
+    return out.select("imdb_id", "n", *[scalars.rounded(F.col(c), 6).alias(c) for c in ("mean", "std", "range", "share_zero")])
 
 
 _SEQ = ", seq as (select imdb_id, row_number() over (partition by imdb_id order by scene_id, unit_no) - 1 as i, count(*) over (partition by imdb_id) as n, s from scored where imdb_id is not null)"
@@ -155,7 +157,7 @@ def quartile_trajectory(spark: SparkSession, d: str) -> DataFrame:
     """Mean valence of the four quarters of each film's lines, and how their spread varies."""
     seq = sequence.numbered(_line_scores(spark, d).where("imdb_id is not null"), "imdb_id", ["unit_no"], "s", block="scene_id")
     out = sequence.quartiles(seq, "imdb_id")
-    return out.select("imdb_id", *[F.round(c, 6).alias(c) for c in ("q1", "q2", "q3", "q4", "std_range")])
+    return out.select("imdb_id", *[scalars.rounded(F.col(c), 6).alias(c) for c in ("q1", "q2", "q3", "q4", "std_range")])
 
 
 @query(
@@ -297,7 +299,7 @@ def cooccurrence_edges(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_NODES}{_EDGES}, n as (select imdb_id, count(*) as n_nodes from nodes group by 1), e as (select imdb_id, count(*) as n_edges, avg(weight) as w from edges group by 1) select imdb_id, n_nodes, coalesce(n_edges, 0) as n_edges, round(w, 6) as mean_weight, case when n_nodes > 1 then round(2.0 * coalesce(n_edges, 0) / (n_nodes * (n_nodes - 1)), 6) end as density from n left join e using (imdb_id)")
 def graph_density(spark: SparkSession, d: str) -> DataFrame:
     """Density of each film's graph."""
-    return graph.density(*_graph(spark, d), "imdb_id").select("imdb_id", "n_nodes", "n_edges", F.round("mean_weight", 6).alias("mean_weight"), F.round("density", 6).alias("density"))
+    return graph.density(*_graph(spark, d), "imdb_id").select("imdb_id", "n_nodes", "n_edges", *[scalars.rounded(F.col(c), 6).alias(c) for c in ("mean_weight", "density")])
 
 
 @query(
@@ -309,7 +311,7 @@ def gini_and_shares(spark: SparkSession, d: str) -> DataFrame:
     """How lines are shared among the cast."""
     nodes, _ = _graph(spark, d)
     out = graph.node_measures(nodes, "imdb_id", "speaker")
-    return out.select("imdb_id", "n_nodes", "n_leads", *[F.round(c, 6).alias(c) for c in ("gini", "top1_share", "top3_share")])
+    return out.select("imdb_id", "n_nodes", "n_leads", *[scalars.rounded(F.col(c), 6).alias(c) for c in ("gini", "top1_share", "top3_share")])
 
 
 @query(
@@ -320,7 +322,7 @@ select imdb_id, case when count(*) >= 3 then round(avg(c), 6) end as clustering
 )
 def graph_clustering(spark: SparkSession, d: str) -> DataFrame:
     """Mean local clustering of each film's graph."""
-    return graph.clustering(*_graph(spark, d), "imdb_id", "speaker").select("imdb_id", F.round("clustering", 6).alias("clustering"))
+    return graph.clustering(*_graph(spark, d), "imdb_id", "speaker").select("imdb_id", scalars.rounded(F.col("clustering"), 6).alias("clustering"))
 
 
 @query()
@@ -381,11 +383,11 @@ def film_lexical(spark: SparkSession, d: str) -> DataFrame:
     """Lexical features of each film: lines, lengths, punctuation, types, hapaxes and pronouns, from counts by film and word."""
     lines = units(spark, d).where("trim(text) <> '' and imdb_id is not null").select("imdb_id", "text", tx.tokens(F.col("text")).alias("toks"))
     n = F.size("toks")
-    rate = lambda m: F.round(1000.0 * F.sum(tx.count_of(F.col("text"), m)) / F.greatest(F.sum(n), F.lit(1)), 4)
-    per_line = lines.groupBy("imdb_id").agg(F.count("*").alias("n_lines"), F.round(F.avg(n), 6).alias("mean_tokens"), F.round(F.stddev_pop(n), 6).alias("std_tokens"), F.round(F.avg((n < 5).cast("double")), 6).alias("share_short"), rate("?").alias("questions"), rate("!").alias("exclamations"))
+    rate = lambda m: scalars.rounded(1000.0 * F.sum(tx.count_of(F.col("text"), m)) / F.greatest(F.sum(n), F.lit(1)), 4)
+    per_line = lines.groupBy("imdb_id").agg(F.count("*").alias("n_lines"), scalars.rounded(F.avg(n), 6).alias("mean_tokens"), scalars.rounded(F.stddev_pop(n), 6).alias("std_tokens"), scalars.rounded(F.avg((n < 5).cast("double")), 6).alias("share_short"), rate("?").alias("questions"), rate("!").alias("exclamations"))
     counts = lines.select("imdb_id", F.explode_outer("toks").alias("w")).where("w is not null").groupBy("imdb_id", "w").agg(F.count("*").alias("n"))
     of = lambda words: F.sum(F.when(F.col("w").isin(*words), F.col("n")).otherwise(0))
-    per_word = counts.groupBy("imdb_id").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_types"), F.round(F.avg((F.col("n") == 1).cast("double")), 6).alias("hapax_ratio"), F.round(of(tx.FIRST_PERSON) / (of(tx.SECOND_PERSON) + 1.0), 6).alias("pronoun_ratio"))
+    per_word = counts.groupBy("imdb_id").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_types"), scalars.rounded(F.avg((F.col("n") == 1).cast("double")), 6).alias("hapax_ratio"), scalars.rounded(of(tx.FIRST_PERSON) / (of(tx.SECOND_PERSON) + 1.0), 6).alias("pronoun_ratio"))
     return per_line.join(per_word, "imdb_id", "left").na.fill(0, ["n_tokens", "n_types"])
 
 

@@ -166,3 +166,26 @@ def test_projection_of_all_vectors(spark):
     assert {len(r["pc"]) for r in rows} == {32}
     # components fitted on all rows centre all rows
     assert all(abs(sum(r["pc"][i] for r in rows)) < 1e-3 * len(rows) for i in range(32))
+
+
+def test_means_of_runs_are_added_in_order(spark):
+    rows = [(f"g{g}", i, 66, round(math.sin(7 * g + i * i), 6)) for g in range(40) for i in range(66)]
+    df = spark.createDataFrame(rows, "g string, i long, n long, value double").repartition(8, "value")
+    got = {r["g"]: r for r in sequence.quartiles(df, "g").collect()}
+    for g in range(40):
+        own = [r[3] for r in rows if r[0] == f"g{g}"]
+        for k, (a, b) in enumerate(((0, 17), (17, 34), (34, 50), (50, 66)), 1):
+            total = 0.0
+            for x in own[a:b]:
+                total += x
+            assert got[f"g{g}"][f"q{k}"] == total / (b - a)
+
+
+def test_ties_are_rounded_as_by_sql(spark):
+    import duckdb
+
+    ratios = [(k, n) for n in (640, 1280, 1920, 2560, 3200) for k in range(1, n) if 2 * 10**6 * k % n == 0 and 10**6 * k % n]
+    df = spark.createDataFrame([(k / n,) for k, n in ratios], "x double")
+    got = [r[0] for r in df.select(scalars.rounded(F.col("x"), 6)).collect()]
+    con = duckdb.connect()
+    assert got == [con.execute("select round(?::double, 6)", [k / n]).fetchone()[0] for k, n in ratios]
