@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..operators import graph, screenplay, sequence, valence, vector
 from ..operators.models import topics
 from ..operators.ranking import quantiles
-from ..session import table
+from ..session import cut, table
 from ..streaming.events import windowed_counts
 from .base import SCENES_SQL, UNITS_SQL, scenes, units
 from .registry import Registry
@@ -425,8 +425,12 @@ query(_FILM_NETWORK)(film_network)
 
 
 def film_features(spark: SparkSession, d: str) -> DataFrame:
-    """All features of a film side by side; films that lack a group have nulls there and `has_network` tells of the graph."""
-    wide = film_lexical(spark, d).join(film_sentiment(spark, d), "imdb_id", "full").join(film_network(spark, d), "imdb_id", "full")
+    """All features of a film side by side; films that lack a group have nulls there and `has_network` tells of the graph.
+
+    Each group, a row a film, is written to the checkpoint folder: one plan of them all is more than a small driver holds.
+    """
+    lexical, mood, network = (cut(f(spark, d)) for f in (film_lexical, film_sentiment, film_network))
+    wide = lexical.join(mood, "imdb_id", "full").join(network, "imdb_id", "full")
     return wide.withColumn("has_network", F.col("n_nodes").isNotNull()).na.fill(False, ["flagged"])
 
 
