@@ -189,3 +189,10 @@ def test_ties_are_rounded_as_by_sql(spark):
     got = [r[0] for r in df.select(scalars.rounded(F.col("x"), 6)).collect()]
     con = duckdb.connect()
     assert got == [con.execute("select round(?::double, 6)", [k / n]).fetchone()[0] for k, n in ratios]
+
+
+def test_film_features_joins_written_groups(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["film_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and plan.count("LogicalRDD") == 3
